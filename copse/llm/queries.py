@@ -6,17 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copse.llm import dedup, pii, sharding
+from copse.llm import dedup, langid, licences, packing, pii, quality, sharding
 from copse.llm.common import documents
 
 #: Production topology: 4 regions of 2 racks of 5 shards.
 TOPOLOGY = sharding.Topology.regular(40)
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public tokenizer's file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_report(documents(spark, sf_dir))
+
+
+def op2_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(documents(spark, sf_dir), vocabulary())
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), TOPOLOGY)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
