@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from copse.llm import dedup, langid, licences, packing, pii, quality, sharding
+from copse.llm import dedup, jaccard, langid, licences, packing, pii, quality, sharding
 from copse.llm.common import documents
 
 #: Production topology: 4 regions of 2 racks of 5 shards.
@@ -46,6 +46,10 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_report(documents(spark, sf_dir), keep="largest")
 
