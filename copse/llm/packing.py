@@ -26,22 +26,22 @@ from copse.llm.texts import batch, map_batches
 
 CAPACITY = 2048
 END_TOKEN = 1
-#: Entries that a worker's caches of token ids hold; only speed depends on them.
-CACHE_CHUNKS = 600_000
-CACHE_WORDS = 400_000
+#: Chunks whose ids a worker's cache holds; only speed depends on it.
+CACHE_CHUNKS = 900_000
 
-#: White space on which str.split and the tokenizer's \s might differ, and signs that make a text unfit for splitting.
+#: White space on which str.split and the tokenizer might differ, and signs that make a text unfit for splitting.
 _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 _ODD = re.compile("[" + "".join(map(chr, _ODD_CODES)) + "]")
-#: A word of Latin letters with sign runs after it: its parts are tokenised apart by the tokenizer too.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-^`{-~]*)")
+#: A sign before a comma or a stop: the tokenizer keeps runs of signs together, so such texts are not parted there.
+_RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 class ChunkTokenizer:
     """Ids as little-endian unsigned 32-bit bytes, equal to the tokenizer's on whole texts.
 
-    For a tokenizer that drops white space and never joins over it (`word_bpe_49k.json`), a text's ids are those of its
-    white-space chunks in order, so chunks are looked up in a cache and only new ones are tokenised, many in one call.
+    For a tokenizer that lower-cases, drops white space, never joins over it and keeps letters and signs apart
+    (`word_bpe_49k.json`), a text's ids are those of its white-space chunks in order, commas and stops may be chunks of their own,
+    and Latin-1 texts may be lower-cased first. Chunks are looked up in a cache and only new ones are tokenised, many in one call.
     """
 
     def __init__(self, path: str):
@@ -51,43 +51,58 @@ class ChunkTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_words(self, new: list[str]) -> None:
-        """Words without white space that are one piece each: their ids end where a token ends a word."""
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+    def _split(self, text: str | None) -> list[str] | None:
+        """Chunks that can be tokenised apart; None if the text has to be tokenised whole."""
+        if not text:
+            return []
+        if _ODD.search(text):
+            return None
+        try:
+            text.encode("latin-1")
+            if "<|" not in text:  # special tokens keep their case
+                text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return (text if _RUN.search(text) else text.replace(",", " ,").replace(".", " .")).split()
+
+    def _learn(self, new: list[str]) -> None:
+        """Chunks of letters alone are one piece each: their ids end where a token ends a word. Others are tokenised each by itself."""
+        words = [c for c in new if c.isalpha()]
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) == len(part):
-                whole, ends = ids.tobytes(), (stops * 4).tolist()
-                self.words.update(zip(part, (whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                whole, ends = ids.tobytes(), stops.tolist()
+                self.chunks.update(zip(part, [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             else:
-                self.words.update((w, self.whole(w)) for w in part)
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
-        plain = {c: (m[1].lower(), m[2]) for c in new if (m := _PLAIN.fullmatch(c))}
-        wanted = {w for pair in plain.values() for w in pair if w}
-        self._learn_words(sorted(wanted - self.words.keys()))
-        self.chunks.update((c, self.words[w] + self.words[s]) for c, (w, s) in plain.items())
-        odd = [c for c in new if c not in plain]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.chunks[c] = np.array(e.ids, "<u4").tobytes()
+                self.chunks.update((w, self.whole(w)) for w in part)
+        for c in new:
+            if not c.isalpha():
+                self.chunks[c] = self.whole(c)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
-        new = set().union(*(c for c in split if c is not None)) - self.chunks.keys()
+        split = [self._split(t) for t in texts]
+        get = self.chunks.get
+        found = [None if c is None else list(map(get, c)) for c in split]
+        new = {w for c, f in zip(split, found, strict=True) if c and None in f for w, x in zip(c, f, strict=True) if x is None}
+        known = self.chunks
         if new:
-            if len(self.chunks) + len(new) > CACHE_CHUNKS:
-                self.chunks.clear()
-                new = set().union(*(c for c in split if c is not None))
-            self._learn(new)
-        return [self.whole(t) if c is None else b"".join(map(self.chunks.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
+            if len(known) + len(new) > CACHE_CHUNKS:
+                self.chunks = {}  # found still has what it looked up
+            self._learn(list(new))
+            known = self.chunks
+        out = []
+        for t, c, f in zip(texts, split, found, strict=True):
+            if c is None:
+                out.append(self.whole(t))
+            else:
+                out.append(b"".join([known[w] if x is None else x for w, x in zip(c, f, strict=True)] if None in f else f))
+        return out
 
 
 class Packer:
