@@ -39,6 +39,7 @@ class Tree:
         self.cat_at = np.full(len(rows), -1)
         self.cat_at[cats] = np.arange(len(cats))
         self.cat_side = np.full((max(1, len(cats)), wide), -1, np.int8)  # 1 left, 0 right, -1 not at this node
+        self.cat_single = np.array([rows[i]["kind"] == "single" for i in cats] or [False])
         for k, i in enumerate(cats):
             if rows[i]["kind"] == "single":
                 self.cat_side[k] = 0
@@ -108,7 +109,7 @@ class Tree:
                 wide = self.cat_side.shape[1]
                 known = self.cat_side[self.cat_at[nodes[i]], np.clip(codes, 0, wide - 1)].astype(np.int8)
                 unseen = codes >= np.array(rules.n_levels)[k]
-                single = unseen & (self.cat_side[self.cat_at[nodes[i]]] >= 0).all(axis=1)  # a one-level split sends all else to the right
+                single = unseen & self.cat_single[self.cat_at[nodes[i]]]  # a one-level split sends all else to the right
                 side[i] = np.where(codes < 0, -1, np.where(single, 0, np.where(unseen | (known < 0), -2, known)))
             pct = self.pct[nodes]
             new = side == -2
