@@ -1,14 +1,16 @@
 """N-gram Jaccard join by a token-group matrix, and its connected components. Exact: no link between different sets is lost.
 
-1. Documents with equal shingle sets are one class. A sketch counts in how many documents a shingle occurs (all documents; the
-   sketch has a fixed size and only orders shingles, so its errors cost time, not links).
-2. Shingles are ordered from rare to common. Two sets of the wanted similarity share a shingle among their rarest n - ceil(t*n) + 1,
-   so only those are dealt out, and only those that at least two classes share go on.
+1. Documents with equal shingle sets are one class. A first deal counts in how many classes a shingle occurs and marks the common
+   ones in a filter of fixed size. Any mark gives a valid order, so the filter's errors cost time, not links.
+2. Shingles are ordered: unmarked before marked, then by hash. Two sets of the wanted similarity share a shingle among their first
+   n - ceil(t*n) + 1, so only those are dealt out, and only those that at least two classes share go on.
 3. Classes are partitioned into groups of similar sets by the smallest shared shingle; a large group is dealt into parts. The
    token-group matrix holds each (shingle, group) once, however many members have it, so thousands of near copies are a few entries.
-4. Groups that share an entry are compared: a member opens the other group only if its overlap with that group's token union can
-   reach the threshold, and the overlaps with the opened group's members come from one product of 0/1 matrices. A spanning forest
-   of the links leaves the task, not all pairs.
+   Groups with enough common entries for their sizes are candidates.
+4. Every set has a signature, the counts of its shingles in hash cells; the cell-wise maximum over a group is the hashed form of the
+   group's token union. A member opens the other group only if its overlap with that, and then with a member's signature, can reach
+   the threshold. Only members that do are fetched with their whole sets and compared. A spanning forest of the links leaves the
+   task, not all pairs.
 5. Links become components by alternating large-star and small-star rounds over written tables.
 
 Defined results: a null text or one without words has no shingle, links with nothing and is its own component. Fewer words than a
@@ -24,14 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.common import free_name, stash
-from copse.llm.texts import batch, map_batches, shingle_set
+from copse.llm.common import discard, free_name, release, shuffle_width, stash
+from copse.llm.texts import batch, map_batches, mix, shingle_set
 
-CELL_BITS = 21
-BLOCKS = 16
+#: Bits of the filters, of fixed size: one marks common shingles, one keeps unwanted texts out of a shuffle. A full one costs time only.
+FILTER_BITS = 26
+#: Shingles in more classes than this are common, unless more than MOST_MARKED would be.
+USUAL = 16
+MOST_MARKED = 1 << 21
 #: Members of a group's part, on average.
 PART = 128
 #: Links need 100 * intersection >= PERCENT * union.
@@ -55,80 +60,161 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _sketch(docs: DataFrame) -> np.ndarray:
-    """Documents by cell of a shingle's hash: counted per task, summed by block in two steps, 4 * 2**CELL_BITS bytes in all."""
-    cells, width = 1 << CELL_BITS, (1 << CELL_BITS) // BLOCKS
+def _marked(bits: np.ndarray | None, s: np.ndarray) -> np.ndarray:
+    p = (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        total = np.zeros(cells, np.uint32)
-        seen = False
-        for b in batches:
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t)
-                if len(s):
-                    seen = True
-                    np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.uint32(1))
-        if seen:
-            part = TaskContext.get().partitionId() % 61
-            yield batch(["block", "part", "counts"], pa.array(range(BLOCKS), pa.int32()), pa.array([part] * BLOCKS, pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(BLOCKS)], pa.binary()))
-
-    def add(pdf):
-        total = np.zeros(width, np.uint32)
-        for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint32)
-        return pdf.iloc[:1].assign(counts=[total.tobytes()])
-
-    schema = "block int, part int, counts binary"
-    rows = map_batches(docs, count, schema).groupBy("block", "part").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
-    out = np.zeros(cells, np.uint32)
-    for r in rows.collect():  # BLOCKS rows of a fixed size
-        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["counts"], np.uint32)
-    return out
+def _prefix(s: np.ndarray, bits: np.ndarray | None, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, as many as a linked set must share one of. Without a filter: some more, by hash alone."""
+    k = len(s) - _least(len(s), percent) + 1
+    if bits is None:
+        return s[: k + k // 7 + 1]
+    return s[np.argsort(_marked(bits, s), kind="stable")[:k]]
 
 
-def _levels(sketch: np.ndarray) -> np.ndarray:
-    """Rank of each cell: 0 up to four times the mean count, then one more for each doubling."""
-    usual = max(1.0, 4 * float(sketch.mean()))
-    return np.ceil(np.log2(np.maximum(1.0, sketch / usual))).astype(np.uint8)
+def _bit_table(places: DataFrame) -> np.ndarray:
+    """places: p, numbers under 2**FILTER_BITS. At most 2**(FILTER_BITS - 15) rows of 4 kB come to the driver, whatever the input."""
+    words = places.select(F.shiftrightunsigned("p", 15).alias("word"), (F.col("p") % 32768).alias("bit"))
+    bits = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in words.groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        bits[r["word"] * 4096 : (r["word"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
 
-def _prefix(s: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest shingles of a sorted set, as many as a linked set must share one of."""
-    k = len(s) - _least(len(s), percent) + 1
-    rank = levels[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-    return s[np.argsort(rank, kind="stable")[:k]]
+def _common(docs: DataFrame, percent: int) -> np.ndarray:
+    """The filter of common shingles: those of more than `usual` classes, usual being the least power of two that marks few enough."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            yield batch(["fa", "prefix"], pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([_i64(_prefix(s, None, percent)) for s in sets], pa.list_(pa.int64())))
+
+    spark = docs.sparkSession
+    dealt = map_batches(docs, work, "fa long, prefix array<long>").select("fa", F.explode("prefix").alias("token")).repartition(max(8, shuffle_width(spark)), "token")
+    often = dealt.groupBy("token", "fa").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(f"df > {USUAL}")
+    often = stash(often, "often")
+    sizes = often.groupBy(F.floor(F.log2("df")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per power of two
+    usual = USUAL
+    while sum(r["n"] for r in sizes if 2 ** r["k"] >= usual) > MOST_MARKED:
+        usual *= 2
+    return _bit_table(often.where(F.col("df") > usual).select(F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("p")))
+
+
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in a power of two of hash cells, about two shingles to a cell, as unsigned 16-bit numbers cut to bytes where they fit.
+
+    The first byte is the width of a count. Cells are the top bits of the hashes, so halving a signature adds neighbours.
+    """
+    bits = max(4, int(len(s)).bit_length() - 1)
+    c = np.bincount((mix(s) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return b"\x01" + c.astype(np.uint8).tobytes() if c.max(initial=0) < 256 else b"\x02" + c.astype("<u2").tobytes()
+
+
+def read_signature(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8 if b[0] == 1 else "<u2", offset=1).astype(np.int32)
+
+
+def _folded(c: np.ndarray, cells: int) -> np.ndarray:
+    return c if len(c) == cells else c.reshape(cells, -1).sum(axis=1)
+
+
+def qualifying(xs: list[tuple[int, bytes]], ys: list[tuple[int, bytes]], percent: int = PERCENT, same: bool = False) -> tuple[list[int], list[int]]:
+    """Positions in xs and ys of members that some member of the other side may link with. A member is its size and signature."""
+    a, b = [read_signature(s) for _, s in xs], [read_signature(s) for _, s in ys]
+    nb = np.array([n for n, _ in ys])
+    cells = min(len(c) for c in (*a, *b))
+    wide = np.array([_folded(c, cells) for c in b])
+    union = wide.max(axis=0)
+    left, right = [], np.zeros(len(ys), bool)
+    for i, ((n, _), c) in enumerate(zip(xs, a, strict=True)):
+        narrow = _folded(c, cells)
+        if np.minimum(narrow, union).sum() < _least(n, percent):
+            continue
+        most = np.minimum(narrow, wide).sum(axis=1)
+        may = 100 * most >= percent * (n + nb - most)
+        may &= (100 * np.minimum(n, nb) >= percent * np.maximum(n, nb))
+        if same:
+            may[i] = False
+        for j in np.flatnonzero(may):
+            if cells < min(len(c), len(b[j])):  # the common fold was coarser than this pair's own
+                own = min(len(c), len(b[j]))
+                m = int(np.minimum(_folded(c, own), _folded(b[j], own)).sum())
+                may[j] = 100 * m >= percent * (n + nb[j] - m)
+        if may.any():
+            left.append(i)
+            right |= may
+    return left, np.flatnonzero(right).tolist()
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _profile(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, n, fa, fb (fingerprint), prefix (array of longs)."""
+def _profile(docs: DataFrame, bits: np.ndarray, percent: int) -> DataFrame:
+    """doc_id, n, fa, fb (fingerprint), sig, prefix (array of longs)."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             prints = [fingerprint(s) for s in sets]
             yield batch(
-                ["doc_id", "n", "fa", "fb", "prefix"],
+                ["doc_id", "n", "fa", "fb", "sig", "prefix"],
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                pa.array([_i64(_prefix(s, levels, percent)) for s in sets], pa.list_(pa.int64())),
+                pa.array([signature(s) for s in sets], pa.binary()), pa.array([_i64(_prefix(s, sent.value, percent)) for s in sets], pa.list_(pa.int64())),
             )
 
-    return map_batches(docs, work, "doc_id long, n long, fa long, fb long, prefix array<long>")
+    return map_batches(docs, work, "doc_id long, n long, fa long, fb long, sig binary, prefix array<long>")
+
 
+def _sets(rows: DataFrame) -> DataFrame:
+    """Rows (text, wanted: array<struct<fa, fb, node, at>>) to (pair, right, node, shingles), a row per pair that a set is compared in."""
 
-def _sets(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            prints = [fingerprint(s) for s in sets]
-            yield batch(["fa", "fb", "shingles"], pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()))
+            for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingle_set(t)
+                print_ = fingerprint(s)
+                out = [(x["pair"], x["right"], w["node"]) for w in wanted if (w["fa"], w["fb"]) == print_ for x in w["at"]]
+                for i in range(0, len(out), 64):
+                    pair, right, node = zip(*out[i : i + 64], strict=True)
+                    yield batch(["pair", "right", "node", "shingles"], pa.array(pair, pa.int64()), pa.array(right, pa.bool_()), pa.array(node, pa.int64()), pa.array([s.tobytes()] * len(pair), pa.binary()))
+
+    return map_batches(rows.select("text", "wanted"), work, "pair long, right boolean, node long, shingles binary")
+
+
+def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
+    """Rows (pair, same, a, b: member lists) to (pair, same, right, node) of the members that qualify."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                pair, same, xs, ys = (b.column(c)[i].as_py() for c in range(4))
+                left, right = qualifying([(x["n"], x["sig"]) for x in xs], [(y["n"], y["sig"]) for y in (xs if same else ys)], percent, same)
+                out += [(pair, same, False, xs[k]["node"]) for k in left]
+                out += [] if same else [(pair, same, True, ys[k]["node"]) for k in right]
+            if out:
+                kinds = [pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+                yield batch(["pair", "same", "right", "node"], *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)))
+
+    return map_batches(pairs.select("pair", "same", "a", "b"), work, "pair long, same boolean, right boolean, node long")
+
+
+def _may_be_wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose id may be among ids, by a Bloom filter with one function of 2**FILTER_BITS bits."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = _bit_table(ids.select(place("doc_id").alias("p")))
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column(2).to_numpy()
+            keep = (sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+            yield batch(["doc_id", "text"], *(b.column(c).filter(pa.array(keep.astype(bool))) for c in (0, 1)))
 
-    return map_batches(docs.select("doc_id", "text"), work, "fa long, fb long, shingles binary")
+    return map_batches(docs.select("doc_id", "text", place("doc_id").alias("p")), work, "doc_id long, text string")
 
 
 def open_group(xs: list[np.ndarray], ys: list[np.ndarray], percent: int = PERCENT, same: bool = False) -> list[tuple[int, int]]:
@@ -171,23 +257,25 @@ def open_group(xs: list[np.ndarray], ys: list[np.ndarray], percent: int = PERCEN
     return out
 
 
-def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows (a_nodes, a_sets, b_nodes, b_sets, same) to links (u, v)."""
+def _verify(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (pair, members: array<struct<right, node, shingles>>) to links (u, v). A pair without right members is a group with itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, v = [], []
             for i in range(b.num_rows):
-                an, asets, bn, bsets, same = (b.column(c)[i].as_py() for c in range(5))
-                xs = [np.frombuffer(s, np.uint64) for s in asets]
-                ys = xs if same else [np.frombuffer(s, np.uint64) for s in bsets]
-                for p, q in open_group(xs, ys, percent, same):
+                members = b.column(0)[i].as_py()
+                sides = [{m["node"]: np.frombuffer(m["shingles"], np.uint64) for m in members if m["right"] == r} for r in (False, True)]
+                (an, xs), (bn, ys) = ((list(x), list(x.values())) for x in sides)
+                if not xs:
+                    continue
+                for p, q in open_group(xs, ys or xs, percent, not ys):
                     u.append(an[p])
-                    v.append((an if same else bn)[q])
+                    v.append((bn or an)[q])
             if u:
                 yield batch(["u", "v"], pa.array(u, pa.int64()), pa.array(v, pa.int64()))
 
-    return map_batches(pairs.select("a_nodes", "a_sets", "b_nodes", "b_sets", "same"), work, "u long, v long")
+    return map_batches(sets.select("members"), work, "u long, v long")
 
 
 def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -214,57 +302,74 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 
 def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Two written tables: documents (doc_id, n, fa, fb) and classes (fa, fb, rep, component_id)."""
+    """Two written tables: documents (doc_id, n, fa, fb) and classes (fa, fb, rep, component_id, root)."""
+    spark = df.sparkSession
     docs = _docs(df, id_col, text_col)
-    levels = _levels(_sketch(docs))
-    profile = _profile(docs, levels, percent)
-    rows = stash(profile.select("doc_id", "n", "fa", "fb", F.col("prefix").alias("prefix")), "profile")
-    who = rows.select("doc_id", "n", "fa", "fb")
-    classes = who.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    profile = _profile(docs, _common(docs, percent), percent)
+    release(spark)
+    rows = stash(profile, "profile")
+    who = stash(rows.select("doc_id", "n", "fa", "fb"), "documents")
+    classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    dealt = rows.where("n > 0").select("fa", F.explode("prefix").alias("token")).distinct()
-    shared = dealt.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
-    tokens = stash(dealt.join(shared, "token").join(classes.select("fa", "node"), "fa").select("node", "token"), "tokens")
+    # Dealt once by shingle, for the count and for the join. Copies of a class add nothing to the count.
+    dealt = rows.where("n > 0").select("fa", F.explode("prefix").alias("token")).repartition(max(8, shuffle_width(spark)), "token")
+    shared = dealt.groupBy("token").agg(F.min("fa").alias("first"), F.max("fa").alias("last")).where("first <> last").select("token")
+    tokens = dealt.join(shared, "token", "left_semi").distinct().join(classes.select("fa", "node", "n"), "fa").select("node", "n", "token")
+    tokens = stash(tokens, "tokens")
+    discard(spark, rows)
+    release(spark)
 
-    lead = tokens.groupBy("node").agg(F.min("token").alias("lead"))
+    lead = stash(tokens.groupBy("node").agg(F.min("token").alias("lead"), F.first("n").alias("n")), "lead")
     parts = lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
-    lead = stash(lead, "lead")
-    grouped = lead.join(parts, "lead").select("node", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp"))
+    grouped = lead.join(parts, "lead").select("node", "n", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp"))
     grouped = stash(grouped, "groups")
+    sizes = grouped.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
 
-    matrix = stash(tokens.join(grouped, "node").select("token", "grp").distinct(), "matrix")
+    matrix = stash(tokens.join(grouped.select("node", "grp"), "node").select("token", "grp").distinct(), "matrix")
     a, b = matrix.select("token", F.col("grp").alias("ga")), matrix.select("token", F.col("grp").alias("gb"))
-    pairs = a.join(b, "token").where("ga < gb").select("ga", "gb").distinct()
-    several = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    pairs = stash(pairs.unionByName(several.select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))), "pairs")
-
-    wanted = grouped.join(classes, "node").select("rep", "fa", "fb", "node", "grp")
-    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi") if wanted.where("rep is null").isEmpty() else docs
-    sets = _sets(texts).dropDuplicates(["fa", "fb"]).join(wanted.select("fa", "fb", "node", "grp"), ["fa", "fb"])
-    blobs = stash(sets.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("node", "shingles"))).alias("members")), "sets")
-    left = blobs.select(F.col("grp").alias("ga"), F.col("members.node").alias("a_nodes"), F.col("members.shingles").alias("a_sets"))
-    right = blobs.select(F.col("grp").alias("gb"), F.col("members.node").alias("b_nodes"), F.col("members.shingles").alias("b_sets"))
-    opened = pairs.join(left, "ga").join(right, "gb").withColumn("same", F.col("ga") == F.col("gb"))
-    roots = components(_verify(opened, percent))
+    pairs = a.join(b, "token").where("ga < gb").groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("common"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("grp").alias(f"g{side}"), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), f"g{side}")
+    pairs = pairs.where(f"100 * a_high >= {percent} * b_low and 100 * b_high >= {percent} * a_low")
+    # With sizes x and y, an overlap of percent / (100 + percent) * (x + y) is needed, and at most the larger suffix lies outside the prefixes.
+    single = "a_low = a_high and b_low = b_high"
+    need = f"ceil({percent} * (a_low + b_low) / {100.0 + percent} - 1e-9) - (ceil({percent} * greatest(a_low, b_low) / 100.0 - 1e-9) - 1)"
+    pairs = pairs.where(f"not ({single}) or common >= {need}").select("ga", "gb")
+    alone = sizes.where("k > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
+    pairs = stash(pairs.unionByName(alone).withColumn("pair", F.monotonically_increasing_id()), "pairs")
+
+    members = grouped.join(classes.select("node", "sig"), "node").groupBy("grp").agg(F.collect_list(F.struct("node", "n", "sig")).alias("members"))
+    members = stash(members, "members")
+    sides = pairs.join(members.select(F.col("grp").alias("ga"), F.col("members").alias("a")), "ga").join(members.select(F.col("grp").alias("gb"), F.col("members").alias("b")), "gb")
+    opened = stash(_bounded(sides.withColumn("same", F.col("ga") == F.col("gb")), percent), "opened")
+
+    release(spark)
+    at = opened.groupBy("node").agg(F.collect_list(F.struct("pair", "right")).alias("at"))
+    wanted = at.join(classes, "node").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("fa", "fb", "node", "at")).alias("wanted"))
+    wanted = stash(wanted, "wanted")
+    texts = _may_be_wanted(docs, wanted)
+    texts = texts.join(wanted.withColumnRenamed("doc_id", "rep"), texts.doc_id.eqNullSafe(F.col("rep"))).select("text", "wanted")
+    sets = _sets(texts).groupBy("pair").agg(F.collect_list(F.struct("right", "node", "shingles")).alias("members"))
+    roots = components(_verify(sets, percent))
 
     found = classes.select("fa", "fb", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return who, stash(found.join(least, "root").select("fa", "fb", "rep", "component_id"), "components")
+    return who, stash(found.join(least, "root").select("fa", "fb", "rep", "component_id", "root"), "components")
 
 
 def jaccard_components(df: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id. A document without shingles is its own component."""
     who, found = similar_classes(df, **options)
     alone = who.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    some = who.where("n > 0").join(found, ["fa", "fb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    some = who.where("n > 0").join(found.select("fa", "fb", "component_id"), ["fa", "fb"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return some.unionByName(alone)
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with one row of every component, that of its smallest id; rows without shingles all stay. All columns stay."""
     who, found = similar_classes(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.where(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(F.struct("fa", "fb")).alias("k"))
+    keep = found.where(F.col("rep").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min(F.struct("fa", "fb")).alias("k"))
     keep = keep.select(F.col("k.fa").alias("fa"), F.col("k.fb").alias("fb"), F.col("component_id").alias("rep"))
     times = who.where("n > 0").groupBy("doc_id", "fa", "fb").agg(F.count(F.lit(1)).alias("times"))
     chosen = stash(keep.join(times, (times.fa == keep.fa) & (times.fb == keep.fb) & times.doc_id.eqNullSafe(keep.rep)).select(F.col("rep").alias("doc_id"), keep.fa, keep.fb, "times"), "chosen")

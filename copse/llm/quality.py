@@ -107,22 +107,22 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int, ridge: float) -> np.ndarray
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
-    """A tree that cuts one feature, then the other on each side: gain and steps. The better of both orders."""
-    best = (0.0, np.zeros_like(g))
+    """A tree that cuts one feature, then the other on each side: gain and steps. The best first cut of both orders, looking one level ahead."""
+    best, whole = (0.0, np.zeros_like(g)), g.sum() ** 2 / (h.sum() + ridge)
     for turned in (False, True):
         gg, hh = (g.T, h.T) if turned else (g, h)
-        gain, at = _best_cut(gg.sum(axis=1), hh.sum(axis=1), ridge)
-        if not at:
-            continue
-        step = np.zeros_like(gg)
-        for side in (slice(0, at), slice(at, None)):
-            sg, sh = gg[side].sum(axis=0), hh[side].sum(axis=0)
-            more, cut = _best_cut(sg, sh, ridge)
-            gain += more
-            for part in (slice(0, cut), slice(cut, None)) if cut else (slice(None),):
-                step[side, part] = -sg[part].sum() / (sh[part].sum() + ridge)
-        if gain > best[0]:
-            best = (gain, step.T if turned else step)
+        up, uph = np.cumsum(gg, axis=0), np.cumsum(hh, axis=0)
+        for at in range(1, len(gg)):
+            sides = ((up[at - 1], uph[at - 1]), (up[-1] - up[at - 1], uph[-1] - uph[at - 1]))
+            cuts = [_best_cut(sg, sh, ridge) for sg, sh in sides]
+            gain = sum(sg.sum() ** 2 / (sh.sum() + ridge) + more for (sg, sh), (more, _) in zip(sides, cuts, strict=True)) - whole
+            if gain <= best[0]:
+                continue
+            step = np.zeros_like(gg)
+            for rows, (sg, sh), (_, cut) in zip((slice(0, at), slice(at, None)), sides, cuts, strict=True):
+                for part in (slice(0, cut), slice(cut, None)) if cut else (slice(None),):
+                    step[rows, part] = -sg[part].sum() / (sh[part].sum() + ridge)
+            best = (float(gain), step.T if turned else step)
     return best
 
 

@@ -72,8 +72,17 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words_of(text))))
 
 
+#: Rows that the Python side of an operator holds at once.
+SLICE = 256
+
+
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    """mapInArrow in slices of few rows, so that what a worker derives from long texts stays small."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+
+    return df.mapInArrow(sliced, schema)
 
 
 def batch(names: list[str], *columns) -> pa.RecordBatch:
