@@ -72,6 +72,7 @@ class Grower:
         with np.errstate(all="ignore"):
             self.low = np.array([_finite(sample.num[:, c]).min(initial=np.inf) for c in range(self.n_num)])
             self.high = np.array([_finite(sample.num[:, c]).max(initial=-np.inf) for c in range(self.n_num)])
+        self.has_odd = not np.isfinite(sample.num).all()
         self.levels0 = [max(1, len(np.unique(c[c >= 0]))) for c in sample.cat.T]
 
     # -- columns ---------------------------------------------------------------------------------------------------------------
@@ -87,11 +88,14 @@ class Grower:
         return criteria.categorical_kurtosis(self._counts(c, rows, w), self.p.categ_split_type, self.rng)
 
     def _splittable(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        out = []
-        for c in cols:
-            v = _finite(self.s.num[rows, c]) if c < self.n_num else self.s.cat[rows, c - self.n_num]
-            if c >= self.n_num:
-                v = v[v >= 0]
+        nums = cols[cols < self.n_num]
+        x = self.s.num[np.ix_(rows, nums)]
+        if self.has_odd:
+            x = np.where(np.isfinite(x), x, np.nan)
+        out = nums[np.fmin.reduce(x, axis=0) < np.fmax.reduce(x, axis=0)].tolist() if len(nums) else []
+        for c in cols[cols >= self.n_num]:
+            v = self.s.cat[rows, c - self.n_num]
+            v = v[v >= 0]
             if len(v) and v.min() < v.max():
                 out.append(c)
         return np.array(out, int)
