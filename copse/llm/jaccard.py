@@ -2,9 +2,9 @@
 
 1. Documents with equal shingle sets are one class. A first deal counts in how many classes a shingle occurs and marks the common
    ones in a filter of fixed size. Any mark gives a valid order, so the filter's errors cost time, not links.
-2. Shingles are ordered: unmarked before marked, then by hash. Two sets of the wanted similarity share a shingle among their first
+2. Shingles are ordered from unmarked to most marked, then by hash. Two sets of the wanted similarity share a shingle among their first
    n - ceil(t*n) + 1, so only those are dealt out, and only those that at least two classes share go on.
-3. Classes are partitioned into groups of similar sets by the smallest shared shingle; a large group is dealt into parts. The
+3. Classes are partitioned into groups of similar sets by their most common shared shingle; a large group is dealt into parts. The
    token-group matrix holds each (shingle, group) once, however many members have it, so thousands of near copies are a few entries.
    Groups with enough common entries for their sizes are candidates.
 4. Every set has a signature, the counts of its shingles in hash cells; the cell-wise maximum over a group is the hashed form of the
@@ -37,6 +37,7 @@ FILTER_BITS = 26
 #: Shingles in more classes than this are common, unless more than MOST_MARKED would be.
 USUAL = 16
 MOST_MARKED = 1 << 21
+STEPS = (8, 64)
 #: Members of a group's part, on average.
 PART = 128
 #: Links need 100 * intersection >= PERCENT * union.
@@ -60,17 +61,21 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _marked(bits: np.ndarray | None, s: np.ndarray) -> np.ndarray:
+def _rank(tables: list[np.ndarray], s: np.ndarray) -> np.ndarray:
+    """In how many of the tables a shingle is marked."""
     p = (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+    out = np.zeros(len(s), np.uint8)
+    for bits in tables:
+        out += (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+    return out
 
 
-def _prefix(s: np.ndarray, bits: np.ndarray | None, percent: int) -> np.ndarray:
+def _prefix(s: np.ndarray, tables: list[np.ndarray] | None, percent: int) -> np.ndarray:
     """The first shingles of a sorted set, as many as a linked set must share one of. Without a filter: some more, by hash alone."""
     k = len(s) - _least(len(s), percent) + 1
-    if bits is None:
+    if tables is None:
         return s[: k + k // 7 + 1]
-    return s[np.argsort(_marked(bits, s), kind="stable")[:k]]
+    return s[np.argsort(_rank(tables, s), kind="stable")[:k]]
 
 
 def _bit_table(places: DataFrame) -> np.ndarray:
@@ -82,8 +87,8 @@ def _bit_table(places: DataFrame) -> np.ndarray:
     return bits
 
 
-def _common(docs: DataFrame, percent: int) -> np.ndarray:
-    """The filter of common shingles: those of more than `usual` classes, usual being the least power of two that marks few enough."""
+def _common(docs: DataFrame, percent: int) -> list[np.ndarray]:
+    """Filters of common shingles: those of more than `usual` classes, and of more than STEPS times that; usual is the least power of two that marks few enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,7 +103,7 @@ def _common(docs: DataFrame, percent: int) -> np.ndarray:
     usual = USUAL
     while sum(r["n"] for r in sizes if 2 ** r["k"] >= usual) > MOST_MARKED:
         usual *= 2
-    return _bit_table(often.where(F.col("df") > usual).select(F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("p")))
+    return [_bit_table(often.where(F.col("df") > usual * x).select(F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("p"))) for x in (1, *STEPS)]
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -151,9 +156,9 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _profile(docs: DataFrame, bits: np.ndarray, percent: int) -> DataFrame:
+def _profile(docs: DataFrame, tables: list[np.ndarray], percent: int) -> DataFrame:
     """doc_id, n, fa, fb (fingerprint), sig, prefix (array of longs)."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = docs.sparkSession.sparkContext.broadcast(tables)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,24 +319,24 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     # Dealt once by shingle, for the count and for the join. Copies of a class add nothing to the count.
     dealt = rows.where("n > 0").select("fa", F.explode("prefix").alias("token")).repartition(max(8, shuffle_width(spark)), "token")
-    shared = dealt.groupBy("token").agg(F.min("fa").alias("first"), F.max("fa").alias("last")).where("first <> last").select("token")
-    tokens = dealt.join(shared, "token", "left_semi").distinct().join(classes.select("fa", "node", "n"), "fa").select("node", "n", "token")
+    shared = dealt.groupBy("token").agg(F.min("fa").alias("first"), F.max("fa").alias("last"), F.count(F.lit(1)).alias("df")).where("first <> last").select("token", "df")
+    tokens = dealt.join(shared, "token").distinct().join(classes.select("fa", "node", "n"), "fa").select("node", "n", "token", "df")
     tokens = stash(tokens, "tokens")
     discard(spark, rows)
     release(spark)
 
-    lead = stash(tokens.groupBy("node").agg(F.min("token").alias("lead"), F.first("n").alias("n")), "lead")
+    lead = stash(tokens.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("lead"), F.first("n").alias("n")), "lead")
     parts = lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
     grouped = lead.join(parts, "lead").select("node", "n", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp"))
     grouped = stash(grouped, "groups")
     sizes = grouped.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
 
-    matrix = stash(tokens.join(grouped.select("node", "grp"), "node").select("token", "grp").distinct(), "matrix")
-    a, b = matrix.select("token", F.col("grp").alias("ga")), matrix.select("token", F.col("grp").alias("gb"))
-    pairs = a.join(b, "token").where("ga < gb").groupBy("ga", "gb").agg(F.count(F.lit(1)).alias("common"))
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("grp").alias(f"g{side}"), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")), f"g{side}")
-    pairs = pairs.where(f"100 * a_high >= {percent} * b_low and 100 * b_high >= {percent} * a_low")
+    matrix = tokens.join(grouped.select("node", "grp"), "node").select("token", "grp").distinct().join(sizes, "grp")
+    matrix = stash(matrix.select("token", "grp", "low", "high"), "matrix")
+    a = matrix.select("token", F.col("grp").alias("ga"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    b = matrix.select("token", F.col("grp").alias("gb"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    fits = f"ga < gb and 100 * a_high >= {percent} * b_low and 100 * b_high >= {percent} * a_low"
+    pairs = a.join(b, "token").where(fits).groupBy("ga", "gb", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("common"))
     # With sizes x and y, an overlap of percent / (100 + percent) * (x + y) is needed, and at most the larger suffix lies outside the prefixes.
     single = "a_low = a_high and b_low = b_high"
     need = f"ceil({percent} * (a_low + b_low) / {100.0 + percent} - 1e-9) - (ceil({percent} * greatest(a_low, b_low) / 100.0 - 1e-9) - 1)"
