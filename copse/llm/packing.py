@@ -27,7 +27,7 @@ from copse.llm.texts import batch, map_batches
 CAPACITY = 2048
 END_TOKEN = 1
 #: Chunks whose ids a worker's cache holds; only speed depends on it.
-CACHE_CHUNKS = 900_000
+CACHE_CHUNKS = 300_000
 
 #: White space on which str.split and the tokenizer might differ, and signs that make a text unfit for splitting.
 _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
