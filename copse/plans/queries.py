@@ -256,7 +256,7 @@ def _fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
     model = IsolationForest(params.iforest(ntrees=10)).fit(rows, ["o_totalprice", "o_custkey"])
-    return model.partial_fit(rows.where("o_orderkey % 50 = 0")).predict(rows).select("o_orderkey", "score")
+    return model.partial_fit(rows).predict(rows).select("o_orderkey", "score")
 
 
 @query("forest_save_load", _SQL["forest_score_depth"])

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from copse.operators import similarity
-from copse.operators.forest import IsolationForest, Schema
-from copse.plans import export, params
+from copse.operators.forest import ForestModel, IsolationForest, Schema
+from copse.plans import export, params, queries
 from copse.plans.pinned import pinned
 from copse.sources import store
 from copse.streaming.online import OnlineForest, score_stream
@@ -109,6 +109,15 @@ def test_save_load_append_subset_and_partial_fit(spark, blob, tmp_path):
         model.append_trees(IsolationForest(params.eif(ntrees=2)).fit(blob, ["x0", "x1"]))
 
 
+def test_registered_partial_fit_sees_every_order(spark, tmp_path, monkeypatch):
+    spark.range(1, 301).selectExpr("id AS o_orderkey", "CAST(id % 17 AS DOUBLE) AS o_totalprice", "id % 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    models, fit = [], ForestModel.partial_fit
+    monkeypatch.setattr(ForestModel, "partial_fit", lambda self, df, **k: models.append(fit(self, df, **k)) or models[-1])
+    assert queries.queries()["fit_partial"](spark, str(tmp_path)).count() == 300
+    roots = models[0].nodes[models[0].nodes["parent"] < 0].set_index("tree")["n"]
+    assert len(roots) == 11 and roots[10] == 300
+
+
 def test_exports(spark, blob):
     model = IsolationForest.of(ntrees=3, sample_size=64, missing_action="fail").fit(blob, ["x0", "x1"])
     exact = model.predict(blob).select("score", F.expr(export.score_sql(model, enclose="backticks")).alias("again")).toPandas()
