@@ -3,6 +3,8 @@
 Each page's containers are scored by the text of their blocks less that of links; the page votes for the generalised tag-class path
 of its best container (digits of a class become #). Votes are summed per host and path in Spark. Paths with a tenth of a host's
 votes win, and every page is extracted again from its containers on a winning path; a page that has none of them uses its own best.
+From there it climbs to the outermost container that adds text: up to the outermost article or main around the path, or to the body
+where there is none. So a heading, a lead or a second section beside the largest container stays.
 
 Defined results: a null page is empty, and its text is "". A null URL has the host "". Markup that is cut off or not closed is read
 as far as it goes. Repeated rows are treated alike, an empty table gives an empty result, and extra columns are ignored.
@@ -153,15 +155,43 @@ def best_path(found: list[tuple[str, str, int]]) -> str | None:
     return max(ranked, key=lambda p: (ranked[p], p)) if ranked else None
 
 
+def _under(path: str, outer: str) -> bool:
+    return not outer or path == outer or path.startswith(outer + ">")
+
+
+def _marked(path: str) -> list[str]:
+    """The labels of the articles and mains in a path."""
+    return [x for x in path.split(">") if x.partition(".")[0] in ("article", "main")]
+
+
+def _belongs(block: tuple[str, str, int]) -> bool:
+    """Whether a block around a winning container is kept: not in an article whose class marks it as noise, and outside of articles not mostly links."""
+    path, text, links = block
+    marked = _marked(path)
+    return not any(NOISE_WORDS.search(x.partition(".")[2]) for x in marked) and (bool(marked) or len(text) > 2 * links)
+
+
+def whole_path(found: list[tuple[str, str, int]], path: str) -> str:
+    """The outermost container around a path that adds text, no further out than the outermost article or main around it; "" is the page."""
+    parts = path.split(">") if path else []
+    first = next((i for i, x in enumerate(parts) if _marked(x)), -1)
+    for k in range(first + 1, len(parts)):
+        outer, inner = ">".join(parts[:k]), ">".join(parts[: k + 1])
+        if any(_under(b[0], outer) and not _under(b[0], inner) and len(b[1]) > 2 * b[2] and _belongs(b) for b in found):
+            return outer
+    return path
+
+
 def extract(page: str | None, winners: list[str]) -> str:
-    """The blocks of the page's containers on the winning path that scores best in it, joined by newlines."""
+    """The blocks of the page's containers on the winning path that scores best in it and of those around it that add text, joined by newlines."""
     found = blocks(page)
     ranked = scores(found)
     there = [p for p in winners if ranked.get(p, 0) > 0]
     path = max(there, key=lambda p: (ranked[p], p)) if there else best_path(found)
     if path is None:
         return ""
-    return "\n".join(text for p, text, _ in found if p == path or p.startswith(path + ">"))
+    whole = whole_path(found, path)
+    return "\n".join(b[1] for b in found if _under(b[0], path) or _under(b[0], whole) and _belongs(b))
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -156,6 +156,24 @@ def test_html(spark):
     assert html.extract_pages(pages.where("false")).isEmpty()
 
 
+LONG, MORE = "A long body of the article that goes on and on. " * 9, "A second section with other things to tell. " * 5
+NESTED = {
+    "article": (f"<article class='post-1'><h1>Head</h1><p>A short lead of the page.</p><div class=content><p>{LONG}</p></div></article><div class='x'>Outside of the article it stands.</div>", ["Head", "A short lead of the page.", LONG]),
+    "links": (f"<article><p>See <a href='/a'>all that we wrote about it</a></p><div class=content><p>{LONG}</p></div><div class='tags'><a href='/t'>tag one</a> <a href='/u'>two</a></div><p>An end.</p></article>", ["See all that we wrote about it", LONG, "tag one two", "An end."]),
+    "main": (f"<main><section class=a><p>{LONG}</p></section><section class=b><p>{MORE}</p></section><article class='comment-3'><p>A reader says so.</p></article></main>", [LONG, MORE]),
+    "deep": (f"<article><h1>Head</h1><div class=w><div class=v><div class=content><p>{LONG}</p></div></div></div></article>", ["Head", LONG]),
+    "body": (f"<div class=top><a href='/'>Home</a> | <a href='/b'>About us</a></div><h1>Head</h1><div class=content><p>{LONG}</p></div><div class=rest><p>{MORE}</p></div>", ["Head", LONG, MORE]),
+    "alone": (f"<div class=top><a href='/'>Home</a></div><div class=content><p>{LONG}</p></div>", [LONG]),
+}
+
+
+def test_nested_layouts_keep_all_their_text(spark):
+    rows = [(10 * k + i, f"http://{name}.org/{i}", PAGE.format(body)) for k, (name, (body, _)) in enumerate(NESTED.items()) for i in range(2)]
+    got = {r["url"]: r["text"] for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for name, (_, want) in NESTED.items():
+        assert got[f"http://{name}.org/1"] == "\n".join(x.strip() for x in want), name
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b c d e f"])
 def test_shingles(text):
     from copse.llm.texts import shingle_set
