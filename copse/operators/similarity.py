@@ -1,9 +1,13 @@
 """Separation distances and isolation kernels between rows, from the long table (id, tree, leaf).
 
 Same leaf: an equi-join on (tree, leaf). Different leaves: the splits shared by their paths, a small table per forest that a
-broadcast join adds when it is under a checked size and a plain join otherwise. Results are long tables (id_a, id_b, value).
+broadcast join adds when it is under a checked size and a plain join otherwise. Forests whose table would be too large need none:
+rows are joined on the nodes of their paths. Results are long tables (id_a, id_b, value).
 """
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from copse.functions.special import expected_separation
 from copse.operators.forest import ForestModel
 
-#: Largest leaf-by-leaf table, in rows, and the largest that is broadcast.
+#: Largest leaf-by-leaf table, in rows (larger forests are joined on paths), and the largest that is broadcast.
 MOST_LEAF_PAIRS = 20_000_000
 BROADCAST_ROWS = 500_000
 OUTPUTS = ("dist", "avg_sep", "kernel", "kernel_raw")
@@ -28,12 +32,17 @@ def leaf_index(model: ForestModel) -> pd.DataFrame:
     return leaves.assign(leaf=leaves.groupby("tree").cumcount()).reset_index(drop=True)
 
 
+def leaf_pairs(model: ForestModel) -> int:
+    """Rows of the leaf-by-leaf table."""
+    return int((leaf_index(model).groupby("tree").size() ** 2).sum())
+
+
 def leaf_separation(model: ForestModel) -> pd.DataFrame:
     """tree, leaf_a, leaf_b, sep: splits that both paths pass; a leaf with itself has its depth and what is expected below it."""
     rows = []
     index = leaf_index(model)
-    if int((index.groupby("tree").size() ** 2).sum()) > MOST_LEAF_PAIRS:
-        raise ValueError(f"the leaf table would have over {MOST_LEAF_PAIRS} rows; use fewer trees or a smaller sample")
+    if leaf_pairs(model) > MOST_LEAF_PAIRS:
+        raise ValueError(f"the leaf table would have over {MOST_LEAF_PAIRS} rows; pairwise joins such a forest on paths")
     for tree, nodes in model.nodes.groupby("tree", sort=True):
         parent = nodes.set_index("node")["parent"].to_dict()
         mine = index[index["tree"] == tree]
@@ -61,6 +70,33 @@ def _leaf_separation_table(spark: SparkSession, model: ForestModel) -> DataFrame
     return F.broadcast(df) if len(table) <= BROADCAST_ROWS else df
 
 
+def _path_table(model: ForestModel, df: DataFrame, id_col: str) -> DataFrame:
+    """id, tree, at, sep: the nodes of every row's path. The sep of the nodes that two paths share adds up to their separation."""
+    full = model.params.assume_full_distr
+    ways = {}
+    for tree, nodes in model.nodes.groupby("tree"):
+        nodes = nodes.sort_values("node")
+        leaf = (nodes["kind"] == "leaf").to_numpy()
+        below = [3.0 if full else expected_separation(n) for n in nodes["n"][leaf]]
+        sep = np.ones(len(nodes))
+        sep[leaf] = below
+        ways[int(tree)] = nodes["parent"].to_numpy(np.int32), sep
+    sent = df.sparkSession.sparkContext.broadcast(ways)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for tree, part in pdf.groupby("tree"):
+                parent, sep = sent.value[int(tree)]
+                ids, at = part["id"].to_numpy(), part["node"].to_numpy()
+                while len(at):
+                    yield pd.DataFrame({"id": ids, "tree": np.int32(tree), "at": at, "sep": sep[at]})
+                    at = parent[at]
+                    ids, at = ids[at >= 0], at[at >= 0]
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return model.leaf_table(df, id_col).select("id", "tree", "node").mapInPandas(work, f"id {kind}, tree int, at int, sep double")
+
+
 def _value(model: ForestModel, output: str, total):
     t = float(model.ntrees)
     if output == "kernel_raw":
@@ -89,8 +125,13 @@ def pairwise(model: ForestModel, df: DataFrame, id_col: str, output: str = "dist
             raise ValueError("distances need one leaf per row; this forest divides rows")
         if refs is not None and not model.params.assume_full_distr:
             raise ValueError("distances to reference rows need assume_full_distr")
-        sep = _leaf_separation_table(df.sparkSession, model)
-        joined = a.join(sep, ["tree", "leaf_a"]).join(b, ["tree", "leaf_b"]).where(wanted)
+        if leaf_pairs(model) <= MOST_LEAF_PAIRS:
+            sep = _leaf_separation_table(df.sparkSession, model)
+            joined = a.join(sep, ["tree", "leaf_a"]).join(b, ["tree", "leaf_b"]).where(wanted)
+        else:
+            a = _path_table(model, df, id_col).withColumnRenamed("id", "id_a")
+            b = _path_table(model, df if refs is None else refs, id_col).select(F.col("id").alias("id_b"), "tree", "at")
+            joined = a.join(b, ["tree", "at"]).where(wanted)
         total = F.sum("sep")
     return joined.groupBy("id_a", "id_b").agg(total.alias("total")).select("id_a", "id_b", _value(model, output, F.col("total")).alias(output))
 

@@ -70,6 +70,16 @@ def test_kernel_and_distance(spark, blob):
     assert marks.count() == 12 and marks.inverted().count() > 0
 
 
+@pytest.mark.parametrize("full", [True, False])
+def test_distances_of_forests_with_many_leaves(spark, blob, monkeypatch, full):
+    model = IsolationForest.of(ntrees=4, sample_size=64, missing_action="fail", assume_full_distr=full).fit(blob, ["x0", "x1"])
+    few, marks = blob.where("id < 12"), blob.where("id > 290") if full else None
+    by_table = model.predict_distance(few, "id", "avg_sep", marks).toPandas().set_index(["id_a", "id_b"])["avg_sep"].sort_index()
+    monkeypatch.setattr(similarity, "MOST_LEAF_PAIRS", 100)
+    by_path = model.predict_distance(few, "id", "avg_sep", marks).toPandas().set_index(["id_a", "id_b"])["avg_sep"].sort_index()
+    assert len(by_table) == (120 if full else 66) and (by_path.index == by_table.index).all() and np.allclose(by_path, by_table, rtol=1e-12)
+
+
 def test_imputation_beats_the_mean(spark):
     rng = np.random.default_rng(2)
     z = rng.normal(size=400)
