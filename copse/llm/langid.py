@@ -4,8 +4,8 @@ A text's subwords are all byte runs of 2 to 4 over its letters, words being part
 over the whole text and a softmax names the language. A temperature fitted on held-back sample rows calibrates the probability,
 and texts whose calibrated probability is under a threshold fitted there are rejected.
 
-Learning takes a bounded sample: at most `per_language` rows of each language, picked by a hash of the id, and `max_rows` rows in
-all. Everything is scored.
+Learning takes a bounded sample: at most `per_language` rows of each language and `max_rows` rows in all, shared evenly among the
+languages; the rows of a language are those of the smallest hashes of id and text, equal rows once. Everything is scored.
 
 Defined results: a text that is null or has no letter gets "und" with score 0 and is rejected. With no labelled row at all, every
 text gets "und". Null ids count as not held out and hash like any value. Rows without lang are scored and not learned from.
@@ -150,13 +150,21 @@ def _sample_work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held: int = 2, per_language: int = 600, max_rows: int = 6000) -> Model:
     """Learns from rows with a language whose crc32 remainder is not `held`. The sample's rows are bounded by the two parameters."""
     known = docs.where(F.col(lang_col).isNotNull() & (remainder(id_col, modulus) != held))
-    sizes = known.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
+    lang, text = F.col(lang_col).cast("string"), F.col(text_col).cast("string")
+    h = F.xxhash64(F.col(id_col), text)
+    draw = F.pmod(h, F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = known.groupBy(lang.alias("lang")).agg(F.approx_count_distinct(h).alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows).collect()
     if not sizes:
         return train([], [])
-    bar = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
-    draw = F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    lang = F.col(lang_col).cast("string")
-    picked = known.where(draw < F.element_at(bar, lang)).select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).limit(max_rows)
+    share = max(1, min(per_language, max_rows // len(sizes)))
+    # About six deviations more than the share are let through at first; of those, only languages and hashes come to the driver.
+    bar = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, (share + 6 * share**0.5 + 10) / max(1, r["n"]))))])
+    near = known.select(lang.alias("lang"), text.alias("text"), draw.alias("draw")).where(F.col("draw") < F.element_at(bar, F.col("lang")))
+    drawn: dict[str, list[float]] = {}
+    for r in near.select("lang", "draw").distinct().collect():
+        drawn.setdefault(r["lang"], []).append(r["draw"])
+    cut = F.create_map(*[x for k, v in drawn.items() for x in (F.lit(k), F.lit(sorted(v)[:share][-1]))])
+    picked = near.where(F.col("draw") <= F.element_at(cut, F.col("lang"))).dropDuplicates(["lang", "draw"]).select("lang", "text")
     rows = map_batches(picked, _sample_work, "lang string, at array<int>, n array<float>").toArrow()
     got = sorted(zip(rows["lang"].to_pylist(), rows["at"].to_numpy(), rows["n"].to_numpy(), strict=True), key=lambda r: (r[0], len(r[1]), r[1].tolist()[:50], r[2].tolist()[:50]))
     return train([(a, n) for _, a, n in got], [x for x, _, _ in got])

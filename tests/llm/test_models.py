@@ -35,6 +35,15 @@ def test_language(docs):
     assert langid.predict(docs([]), nothing).isEmpty()
 
 
+def test_language_sample_is_shared_evenly(docs, monkeypatch):
+    rows = [(1000 * k + i, f"word{k} text{i}", lang) for k, lang in enumerate(["aa", "bb", "cc", "dd", "ee"]) for i in range(80)]
+    df, train, seen = docs([*rows, rows[7], rows[7]]).coalesce(1), langid.train, []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append(labels) or train(texts, labels))
+    a, b = langid.fit(df, max_rows=40), langid.fit(df.repartition(5), max_rows=40)
+    assert seen[0] == [x for x in a.languages for _ in range(8)] and a.languages == ["aa", "bb", "cc", "dd", "ee"]
+    assert seen[1] == seen[0] and (a.table == b.table).all()
+
+
 def test_quality(spark, docs):
     rng = random.Random(4)
     rows, labels = [], []
