@@ -238,17 +238,17 @@ def _fitted(name: str, p: params.ForestParams, columns: list[str], rows=_lineite
 
 _fitted("fit_iforest", params.iforest(), NUM)
 _fitted("fit_eif", params.eif(), NUM)
-_fitted("fit_sciforest", params.sciforest(ntrees=50), NUM)
-_fitted("fit_fcf", params.fcf(ntrees=50), NUM)
+_fitted("fit_sciforest", params.sciforest(), NUM)
+_fitted("fit_fcf", params.fcf(), NUM)
 _fitted("fit_rrcf", params.rrcf(), NUM)
-_fitted("fit_mixed_missing", params.ForestParams.of(ntrees=50, sample_size=256), MIXED, _with_holes)
-_fitted("fit_extended_mixed", params.ForestParams.of(ntrees=50, sample_size=256, ndim=2), MIXED, _with_holes)
+_fitted("fit_mixed_missing", params.ForestParams(), MIXED, _with_holes)
+_fitted("fit_extended_mixed", params.ForestParams.of(ndim=2), MIXED, _with_holes)
 
 
 @query("fit_transform_impute")
 def _fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_holes(spark, sf_dir)
-    model = IsolationForest.of(ntrees=30, sample_size=256, build_imputer=True).fit(rows, MIXED)
+    model = IsolationForest.of(build_imputer=True).fit(rows, MIXED)
     return model.transform(rows).select(*_KEYS, *MIXED)
 
 

@@ -128,6 +128,25 @@ def test_registered_partial_fit_sees_every_order(spark, tmp_path, monkeypatch):
     assert len(roots) == 11 and roots[10] == 300
 
 
+def test_registered_fits_use_presets_and_defaults(spark, monkeypatch):
+    seen = []
+
+    class Seen(IsolationForest):
+        def fit(self, *_, **__):
+            seen.append(self.params)
+            raise InterruptedError
+
+        of = staticmethod(lambda **given: Seen(params.ForestParams.of(**given)))
+
+    line = spark.range(1).selectExpr("id AS l_orderkey", "1 AS l_linenumber", *(f"1.0D AS {c}" for c in queries.NUM), "'A' AS l_returnflag", "'F' AS l_linestatus")
+    monkeypatch.setattr(queries, "_table", lambda *_: line)
+    monkeypatch.setattr(queries, "IsolationForest", Seen)
+    for name in ("fit_sciforest", "fit_fcf", "fit_mixed_missing", "fit_extended_mixed", "fit_transform_impute"):
+        with pytest.raises(InterruptedError):
+            queries.queries()[name](spark, "")
+    assert seen == [params.sciforest(), params.fcf(), params.ForestParams(), params.ForestParams(ndim=2), params.ForestParams(build_imputer=True)]
+
+
 def test_exports(spark, blob):
     model = IsolationForest.of(ntrees=3, sample_size=64, missing_action="fail").fit(blob, ["x0", "x1"])
     exact = model.predict(blob).select("score", F.expr(export.score_sql(model, enclose="backticks")).alias("again")).toPandas()
