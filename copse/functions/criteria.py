@@ -76,14 +76,23 @@ def best_single(counts: np.ndarray) -> tuple[float, int] | None:
     return (1 - rest.sum() / counts.sum() * expected_sd(rest) / sd if sd > 0 else 0.0), k
 
 
-def best_subset(counts: np.ndarray, criterion: str, all_perm: bool, most_perm: int = 12) -> tuple[float, np.ndarray] | None:
-    """Gain and left mask over codes: levels are sorted by count and cut, or all subsets of the present levels are tried."""
+#: Most present levels of which all subsets are tried.
+MOST_PERM = 12
+
+
+def best_subset(counts: np.ndarray, criterion: str, all_perm: bool, most_perm: int = MOST_PERM) -> tuple[float, np.ndarray] | None:
+    """Gain and left mask over codes: levels are sorted by count and cut, or all subsets of the present levels are tried.
+
+    With all_perm, more than most_perm present levels are refused.
+    """
     present = np.flatnonzero(counts)
     if len(present) < 2:
         return None
     order = present[np.argsort(counts[present], kind="stable")]
     k = len(order)
-    if all_perm and k <= most_perm:
+    if all_perm and k > most_perm:
+        raise ValueError(f"all_perm tries all subsets of at most {most_perm} levels, and a node has {k}; merge levels or set all_perm=False")
+    if all_perm:
         choices = [order[[i for i in range(k) if bits >> i & 1]] for bits in range(1, 1 << (k - 1))]
     else:
         choices = [order[: i + 1] for i in range(k - 1)]

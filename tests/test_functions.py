@@ -74,3 +74,10 @@ def test_defaults_aliases_and_presets():
         assert ForestParams.of(ndim=4).with_columns(1, 1).ndim == 2
     with pytest.raises(ValueError):
         ForestParams.of(prob_pick_full_gain=1.0).with_columns(1, 1)
+
+
+def test_all_subsets_are_tried_or_refused():
+    counts = np.arange(1.0, 14.0)
+    with pytest.raises(ValueError, match="all_perm"):
+        criteria.best_subset(counts, "pooled", True)
+    assert criteria.best_subset(counts[:12], "pooled", True) and criteria.best_subset(counts, "pooled", False)
