@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.texts import SHINGLE, batch, map_batches, mix, shingle_hashes, word_hashes, words_of
+from copse.llm.texts import SHINGLE, SLICE, batch, map_batches, mix, shingle_hashes, word_runs
 
 FUNCTIONS = 48
 PERCENT = 80
@@ -69,10 +69,14 @@ class Partition:
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
 
+def words_of_each(texts: pa.Array) -> list[np.ndarray]:
+    words, bounds = word_runs(texts)
+    return np.split(words, bounds[1:-1]) if len(texts) else []
+
+
 def partitions(texts: list[str | None], width: int = SHINGLE) -> list[Partition]:
     by: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
-    for i, t in enumerate(texts):
-        words = word_hashes(words_of(t))
+    for i, words in enumerate(words_of_each(pa.array(texts, pa.large_string()))):
         if not len(words):
             continue
         s = np.unique(shingle_hashes(words, width))
@@ -98,9 +102,8 @@ class Searcher:
         self.widths = sorted({p.width for p in self.parts})
         self.gates = {w: np.logical_or.reduce([p.gate for p in self.parts if p.width == w]) for w in self.widths}
 
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item position, shingles of the item, shingles present) of every item whose share in the whole text reaches the percentage."""
-        words = word_hashes(words_of(text))
+    def find(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item position, shingles of the item, shingles present) of every item whose share in a whole text, its word hashes, reaches the percentage."""
         out = []
         for w in self.widths:
             if len(words) < w:
@@ -150,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
         def work(batches: Iterator[pa.RecordBatch], searcher=searcher, ids=ids) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = [(d, ids[i], n, k, k / n) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, n, k in searcher.find(t)]
+                found = [(d, ids[i], n, k, k / n) for d, words in zip(b.column(0).to_pylist(), words_of_each(b.column(1)), strict=True) for i, n, k in searcher.find(words)]
                 if found:
                     kinds = [pa.int64()] * 4 + [pa.float64()]
                     yield batch([x.split()[0] for x in _SCHEMA.split(", ")], *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)))
@@ -170,10 +173,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
 
 def _clean(searcher: Searcher):
-    @F.pandas_udf("boolean")
-    def clean(text):
-        import pandas as pd
-
-        return pd.Series([not searcher.find(t) for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        parts = [text.slice(i, SLICE) for i in range(0, len(text), SLICE)]
+        return pa.array([not searcher.find(words) for part in parts for words in words_of_each(part)], pa.bool_())
 
     return clean

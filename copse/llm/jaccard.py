@@ -21,7 +21,8 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from copse.llm.common import discard, free_name, release, shuffle_width, stash
-from copse.llm.texts import batch, map_batches, mix, shingle_set
+from copse.llm.texts import SLICE, batch, map_batches, mix, shingle_sets
 
 #: Bits of the filters, of fixed size: one marks common shingles, one keeps unwanted texts out of a shuffle. A full one costs time only.
 FILTER_BITS = 26
@@ -38,8 +39,12 @@ FILTER_BITS = 26
 USUAL = 16
 MOST_MARKED = 1 << 21
 STEPS = (8, 64)
+#: Shingles that a task gathers before it deals them out.
+FLUSH = 1 << 19
 #: Members of a group's part, on average.
 PART = 128
+#: Sizes of a group's members differ by less than this factor.
+BAND = 1.06
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 
@@ -61,21 +66,25 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _rank(tables: list[np.ndarray], s: np.ndarray) -> np.ndarray:
-    """In how many of the tables a shingle is marked."""
+def _ranks(table: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """How common shingles are, 0 to 3, in two bits a place."""
     p = (s >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    out = np.zeros(len(s), np.uint8)
-    for bits in tables:
-        out += (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1
-    return out
+    return (table[p >> 2] >> ((p & 3) << 1).astype(np.uint8)) & 3
 
 
-def _prefix(s: np.ndarray, tables: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """The first shingles of a sorted set, as many as a linked set must share one of. Without a filter: some more, by hash alone."""
+def _prefix(s: np.ndarray, ranks: np.ndarray | None, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set, as many as a linked set must share one of. Without ranks: some more, by hash alone."""
     k = len(s) - _least(len(s), percent) + 1
-    if tables is None:
+    if ranks is None:
         return s[: k + k // 7 + 1]
-    return s[np.argsort(_rank(tables, s), kind="stable")[:k]]
+    rare = s[ranks == 0]
+    return rare[:k] if len(rare) >= k else s[np.argsort(ranks, kind="stable")[:k]]
+
+
+def _prefixes(sets: list[np.ndarray], table: np.ndarray, percent: int) -> list[np.ndarray]:
+    ranks = _ranks(table, np.concatenate(sets)) if sets else np.empty(0, np.uint8)
+    stops = np.cumsum([len(s) for s in sets]).tolist()
+    return [_prefix(s, ranks[b - len(s) : b], percent) for s, b in zip(sets, stops, strict=True)]
 
 
 def _bit_table(places: DataFrame) -> np.ndarray:
@@ -87,23 +96,136 @@ def _bit_table(places: DataFrame) -> np.ndarray:
     return bits
 
 
-def _common(docs: DataFrame, percent: int) -> list[np.ndarray]:
-    """Filters of common shingles: those of more than `usual` classes, and of more than STEPS times that; usual is the least power of two that marks few enough."""
+def _levels(tables: list[np.ndarray]) -> np.ndarray:
+    """Three bit tables as one of two bits a place: in how many of them it is set."""
+    out = np.empty(2 * len(tables[0]), np.uint8)
+    for i in range(0, len(tables[0]), 1 << 16):
+        n = sum(np.unpackbits(t[i : i + (1 << 16)], bitorder="little") for t in tables).reshape(-1, 4)
+        out[2 * i : 2 * i + len(n)] = n[:, 0] | n[:, 1] << 2 | n[:, 2] << 4 | n[:, 3] << 6
+    return out
+
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
-            yield batch(["fa", "prefix"], pa.array([fingerprint(s)[0] for s in sets], pa.int64()), pa.array([_i64(_prefix(s, None, percent)) for s in sets], pa.list_(pa.int64())))
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Parallel arrays, joined until they hold FLUSH entries: what a task holds does not grow with its rows."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= FLUSH:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _bucket(token: np.ndarray, n: int) -> np.ndarray:
+    """Of n buckets, by a hash apart from the order of shingles."""
+    return ((mix(token) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _packed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The distinct keys, and for every column a binary row of its entries for each key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    bounds = np.append(starts, len(key))
+    out = []
+    for c in columns:
+        data = c[order]
+        out.append(pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+    return key[starts], out
+
+
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _counts(rows: DataFrame, tokens_of: Callable[[pa.RecordBatch], np.ndarray], least: int) -> DataFrame:
+    """bucket, token, df of every shingle that at least `least` rows have. tokens_of: the shingles of a batch's rows, one entry per row and shingle.
+
+    Tasks count what they gather before it is dealt, so a shingle of very many rows is a few entries of its bucket.
+    """
+    n = _buckets(rows.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token,) in _gathered((tokens_of(b),) for b in batches):
+            token, df = np.unique(token, return_counts=True)
+            key, found = _packed(_bucket(token, n), token, df.astype("<u4"))
+            yield batch(["bucket", "token", "df"], key, *found)
+
+    def total(table: pa.Table) -> pa.Table:
+        token, df = _joined(table["token"], np.uint64), _joined(table["df"], "<u4")
+        order = np.argsort(token)
+        token, df = token[order], df[order].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        df = np.add.reduceat(df, starts)
+        keep = df >= least
+        return pa.table({"bucket": np.full(int(keep.sum()), table["bucket"][0].as_py(), np.int64), "token": _i64(token[starts][keep]), "df": df[keep]})
+
+    return map_batches(rows, count, "bucket long, token binary, df binary").groupBy("bucket").applyInArrow(total, "bucket long, token long, df long")
+
+
+def _buckets(spark) -> int:
+    return 4 * max(8, shuffle_width(spark))
+
+
+def _common(docs: DataFrame, percent: int) -> np.ndarray:
+    """Ranks of shingles: 1 for more than `usual` rows, 2 and 3 for more than STEPS times that; usual is the least power of two that marks few enough."""
 
-    spark = docs.sparkSession
-    dealt = map_batches(docs, work, "fa long, prefix array<long>").select("fa", F.explode("prefix").alias("token")).repartition(max(8, shuffle_width(spark)), "token")
-    often = dealt.groupBy("token", "fa").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(f"df > {USUAL}")
-    often = stash(often, "often")
+    def tokens_of(b: pa.RecordBatch) -> np.ndarray:
+        sets = {fingerprint(s): s for s in shingle_sets(b.column(1))}
+        return np.concatenate([_prefix(s, None, percent) for s in sets.values() if len(s)] or [np.empty(0, np.uint64)])
+
+    often = stash(_counts(docs, tokens_of, USUAL + 1), "often")
     sizes = often.groupBy(F.floor(F.log2("df")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row per power of two
     usual = USUAL
     while sum(r["n"] for r in sizes if 2 ** r["k"] >= usual) > MOST_MARKED:
         usual *= 2
-    return [_bit_table(often.where(F.col("df") > usual * x).select(F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("p"))) for x in (1, *STEPS)]
+    tables = [_bit_table(often.where(F.col("df") > usual * x).select(F.shiftrightunsigned("token", 64 - FILTER_BITS).alias("p"))) for x in (1, *STEPS)]
+    discard(docs.sparkSession, often)
+    return _levels(tables)
+
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """(node, prefix: array of shingles) to (node, token, df) for every shingle that at least two nodes have.
+
+    Rows are dealt by bucket. A bucket with much more than its share, as a shingle of very many nodes makes it, is dealt on by node.
+    """
+    spark, n = classes.sparkSession, _buckets(classes.sparkSession)
+    shared = stash(_counts(classes.select("prefix"), lambda b: b.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64), 2), "shared")
+    heavy = shared.groupBy("bucket").agg(F.sum("df").alias("rows")).collect()  # a row per bucket
+    fair = max(FLUSH, 2 * sum(r["rows"] for r in heavy) // n)
+    split = {r["bucket"]: -(-r["rows"] // fair) for r in heavy if r["rows"] > fair}
+    parts = np.ones(n, np.uint64)
+    parts[list(split)] = list(split.values())
+
+    def pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        token = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        return token, np.repeat(b.column(0).to_numpy(), b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, node in _gathered(map(pairs, batches)):
+            bucket = _bucket(token, n)
+            part = (mix(node.view(np.uint64)) % parts[bucket]).astype(np.int64)
+            key, found = _packed(part * n + bucket, token, node)
+            yield batch(["bucket", "part", "token", "node"], key % n, key // n, *found)
+
+    def keep(rows: pa.Table, of: pa.Table) -> pa.Table:
+        token, node = (_joined(rows[c], np.int64) for c in ("token", "node")) if rows.num_rows else (np.empty(0, np.int64),) * 2
+        known, df = of["token"].to_numpy(), of["df"].to_numpy()
+        order = np.argsort(known)
+        at = np.searchsorted(known, token, sorter=order)
+        at = order[np.minimum(at, len(known) - 1)] if len(known) else np.empty(0, np.int64)
+        hit = known[at] == token if len(known) else np.zeros(len(token), bool)
+        return pa.table({"node": node[hit], "token": token[hit], "df": df[at[hit]] if len(known) else np.empty(0, np.int64)})
+
+    rows = map_batches(classes.select("node", "prefix"), deal, "bucket long, part long, token binary, node binary")
+    times = spark.createDataFrame(list(split.items()) or [(-1, 1)], "bucket long, parts long")
+    of = shared.join(F.broadcast(times), "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)))
+    found = rows.groupBy("bucket", "part").cogroup(of.select("bucket", "part", "token", "df").groupBy("bucket", "part")).applyInArrow(keep, "node long, token long, df long")
+    found = stash(found, "tokens")
+    discard(spark, shared)
+    return found
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -156,21 +278,23 @@ def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _profile(docs: DataFrame, tables: list[np.ndarray], percent: int) -> DataFrame:
-    """doc_id, n, fa, fb (fingerprint), sig, prefix (array of longs)."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+def _profile(docs: DataFrame, table: np.ndarray, percent: int) -> DataFrame:
+    """Written: doc_id, n, fa, fb (fingerprint), sig, prefix (array of longs)."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t) for t in b.column(1).to_pylist()]
+            sets = shingle_sets(b.column(1))
             prints = [fingerprint(s) for s in sets]
             yield batch(
                 ["doc_id", "n", "fa", "fb", "sig", "prefix"],
                 b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                pa.array([signature(s) for s in sets], pa.binary()), pa.array([_i64(_prefix(s, sent.value, percent)) for s in sets], pa.list_(pa.int64())),
+                pa.array([signature(s) for s in sets], pa.binary()), pa.array(map(_i64, _prefixes(sets, sent.value, percent)), pa.list_(pa.int64())),
             )
 
-    return map_batches(docs, work, "doc_id long, n long, fa long, fb long, sig binary, prefix array<long>")
+    out = stash(map_batches(docs, work, "doc_id long, n long, fa long, fb long, sig binary, prefix array<long>"), "profile")
+    sent.destroy()
+    return out
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -178,8 +302,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingle_set(t)
+            for s, wanted in zip(shingle_sets(b.column(0)), b.column(1).to_pylist(), strict=True):
                 print_ = fingerprint(s)
                 out = [(x["pair"], x["right"], w["node"]) for w in wanted if (w["fa"], w["fb"]) == print_ for x in w["at"]]
                 for i in range(0, len(out), 64):
@@ -285,47 +408,46 @@ def _verify(sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node of its component) for every node with a link, by alternating stars. links: u, v longs."""
+    spark = links.sparkSession
     edges = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
         # Large star: every larger neighbour of u goes to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stash(large, "large")
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stash(small.where("u <> v").distinct(), "edges")
+        done, edges = edges, stash(small.where("u <> v").distinct(), "edges")
+        discard(spark, done, least, large, low)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stash(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
 
 
 def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Two written tables: documents (doc_id, n, fa, fb) and classes (fa, fb, rep, component_id, root)."""
     spark = df.sparkSession
     docs = _docs(df, id_col, text_col)
-    profile = _profile(docs, _common(docs, percent), percent)
+    rows = _profile(docs, _common(docs, percent), percent)
     release(spark)
-    rows = stash(profile, "profile")
     who = stash(rows.select("doc_id", "n", "fa", "fb"), "documents")
-    classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("prefix").alias("prefix"))
     classes = stash(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-
-    # Dealt once by shingle, for the count and for the join. Copies of a class add nothing to the count.
-    dealt = rows.where("n > 0").select("fa", F.explode("prefix").alias("token")).repartition(max(8, shuffle_width(spark)), "token")
-    shared = dealt.groupBy("token").agg(F.min("fa").alias("first"), F.max("fa").alias("last"), F.count(F.lit(1)).alias("df")).where("first <> last").select("token", "df")
-    tokens = dealt.join(shared, "token").distinct().join(classes.select("fa", "node", "n"), "fa").select("node", "n", "token", "df")
-    tokens = stash(tokens, "tokens")
     discard(spark, rows)
+    tokens = _shared(classes)
     release(spark)
 
-    lead = stash(tokens.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("lead"), F.first("n").alias("n")), "lead")
+    # A group: classes of one leading shingle and one band of sizes, dealt into parts.
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(BAND)))
+    lead = tokens.groupBy("node").agg(F.max(F.struct("df", "token"))["token"].alias("lead")).join(classes.select("node", "n"), "node")
+    lead = stash(lead.withColumn("lead", F.xxhash64("lead", band)), "lead")
     parts = lead.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
     grouped = lead.join(parts, "lead").select("node", "n", F.xxhash64("lead", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("grp"))
     grouped = stash(grouped, "groups")
@@ -333,14 +455,17 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     matrix = tokens.join(grouped.select("node", "grp"), "node").select("token", "grp").distinct().join(sizes, "grp")
     matrix = stash(matrix.select("token", "grp", "low", "high"), "matrix")
+    discard(spark, tokens, lead)
     a = matrix.select("token", F.col("grp").alias("ga"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
     b = matrix.select("token", F.col("grp").alias("gb"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
     fits = f"ga < gb and 100 * a_high >= {percent} * b_low and 100 * b_high >= {percent} * a_low"
     pairs = a.join(b, "token").where(fits).groupBy("ga", "gb", "a_low", "a_high", "b_low", "b_high").agg(F.count(F.lit(1)).alias("common"))
-    # With sizes x and y, an overlap of percent / (100 + percent) * (x + y) is needed, and at most the larger suffix lies outside the prefixes.
-    single = "a_low = a_high and b_low = b_high"
-    need = f"ceil({percent} * (a_low + b_low) / {100.0 + percent} - 1e-9) - (ceil({percent} * greatest(a_low, b_low) / 100.0 - 1e-9) - 1)"
-    pairs = pairs.where(f"not ({single}) or common >= {need}").select("ga", "gb")
+    # Sets of x >= y shingles need an overlap of share * (x + y), of which at most the larger suffix, under percent / 100 * x, lies outside the prefixes.
+    # The rest grows with y and falls with x, so it is least at the larger's high and the smaller's low.
+    share = percent / (100 + percent)
+    over = percent / 100 - share
+    need = f"floor(least({share} * b_low - {over} * a_high, {share} * a_low - {over} * b_high) - 1e-6) + 1"
+    pairs = pairs.where(f"common >= {need}").select("ga", "gb")
     alone = sizes.where("k > 1").select(F.col("grp").alias("ga"), F.col("grp").alias("gb"))
     pairs = stash(pairs.unionByName(alone).withColumn("pair", F.monotonically_increasing_id()), "pairs")
 
@@ -348,6 +473,7 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     members = stash(members, "members")
     sides = pairs.join(members.select(F.col("grp").alias("ga"), F.col("members").alias("a")), "ga").join(members.select(F.col("grp").alias("gb"), F.col("members").alias("b")), "gb")
     opened = stash(_bounded(sides.withColumn("same", F.col("ga") == F.col("gb")), percent), "opened")
+    discard(spark, matrix, grouped, members, pairs)
 
     release(spark)
     at = opened.groupBy("node").agg(F.collect_list(F.struct("pair", "right")).alias("at"))
@@ -357,10 +483,13 @@ def similar_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     texts = texts.join(wanted.withColumnRenamed("doc_id", "rep"), texts.doc_id.eqNullSafe(F.col("rep"))).select("text", "wanted")
     sets = _sets(texts).groupBy("pair").agg(F.collect_list(F.struct("right", "node", "shingles")).alias("members"))
     roots = components(_verify(sets, percent))
+    discard(spark, opened, wanted)
 
     found = classes.select("fa", "fb", "rep", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return who, stash(found.join(least, "root").select("fa", "fb", "rep", "component_id", "root"), "components")
+    out = stash(found.join(least, "root").select("fa", "fb", "rep", "component_id", "root"), "components")
+    discard(spark, classes, roots)
+    return who, out
 
 
 def jaccard_components(df: DataFrame, **options) -> DataFrame:
@@ -387,11 +516,10 @@ def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         ids = chosen.select(F.col("doc_id").alias(rep))
         return docs.join(ids, docs[id_col].eqNullSafe(ids[rep]), "left_semi")
 
-    @F.pandas_udf("fa long, fb long")
-    def printed(text):
-        import pandas as pd
-
-        return pd.DataFrame([fingerprint(shingle_set(t)) for t in text], columns=["fa", "fb"])
+    @F.arrow_udf("fa long, fb long")
+    def printed(text: pa.Array) -> pa.Array:
+        found = [fingerprint(s) for i in range(0, len(text), SLICE) for s in shingle_sets(text.slice(i, SLICE))]
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["fa", "fb"])
 
     mark = free_name(docs, "copse_print")
     rows = docs.withColumn(mark, printed(F.col(text_col).cast("string")))

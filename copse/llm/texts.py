@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,12 +17,17 @@ ALNUM = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(128)).low
 
 #: Words of a document's shingles.
 SHINGLE = 5
-#: A worker's cache of word hashes is emptied beyond so many words; only speed depends on it.
-CACHE_WORDS = 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S = (np.uint64(30), np.uint64(27), np.uint64(31))
 _PLACE = [np.uint64(xxhash.xxh64_intdigest(bytes([i]), seed=11) | 1) for i in range(SHINGLE)]
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_IS_SPACE = np.isin(np.arange(256), (*range(9, 14), 32))
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+_LENGTH = np.array([xxhash.xxh64_intdigest(i.to_bytes(2, "little"), seed=5) for i in range(_LONG + 1)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,17 +37,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S[2])
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -51,15 +46,44 @@ def words_of(text: str | None) -> list[bytes]:
     return raw(text).translate(LOWER).split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, count=len(words))
-
-
-def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """The hash of every run of width words, in order; of the whole sequence where it is shorter; empty where there are no words."""
-    if not len(words):
-        return words
-    width = min(width, len(words))
+def word_runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and the bounds of every text's words among them. Words are those of words_of.
+
+    A word is read as 8-byte numbers straight from the column's buffer, so no word becomes a Python object.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    n = int(at[-1] - at[0]) if len(texts) else 0
+    if not n:
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    space = _IS_SPACE[data]
+    apart = np.zeros(n + 1, bool)  # a word may not run over this place
+    apart[at] = True
+    apart[1:] |= space
+    starts = np.flatnonzero(apart[:-1] & ~space)
+    apart[:-1] |= space
+    apart[at] = True
+    stops = np.flatnonzero(apart[1:] & ~space) + 1
+    del space, apart
+    low = np.zeros(n + 8, np.uint8)
+    np.take(_LOWER, data, out=low[:n])
+    eight = np.ndarray((n + 1,), "<u8", low, strides=(1,))
+    size = stops - starts
+    h = mix(_LENGTH[np.minimum(size, _LONG)] ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    done = 8
+    while len(more):
+        h[more] = mix(h[more] * _M2 ^ (eight[starts[more] + done] & _FIRST[np.minimum(size[more] - done, 8)]))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(low[starts[i] : stops[i]].tobytes())
+    return h, np.searchsorted(starts, at)
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)
     for i in range(width):
@@ -67,20 +91,60 @@ def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return mix(total)
 
 
+def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    """The hash of every run of width words, in order; of the whole sequence where it is shorter; empty where there are no words."""
+    return _runs(words, min(width, len(words))) if len(words) else words
+
+
+def _distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    new = np.empty(len(h), bool)
+    new[:1] = True
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every whole text."""
+    words, bounds = word_runs(texts)
+    whole = _runs(words, SHINGLE) if len(words) >= SHINGLE else words[:0]
+    bounds = bounds.tolist()
+    return [_distinct(whole[a : b - SHINGLE + 1] if b - a >= SHINGLE else shingle_hashes(words[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
 def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingle_hashes(word_hashes(words_of(text))))
+    return shingle_sets(pa.array([text], pa.large_string()))[0]
+
+
+#: Rows and bytes of a column that the Python side of an operator holds at once; a longer row is held by itself.
+SLICE, SLICE_BYTES = 256, 4 << 20
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, min(SLICE, SLICE * SLICE_BYTES // max(1, b.nbytes * SLICE // max(1, b.num_rows))))
+    for i in range(0, b.num_rows, rows):
+        part = b.slice(i, rows)
+        if rows > 1 and part.nbytes > 2 * SLICE_BYTES:
+            yield from (part.slice(k, 1) for k in range(part.num_rows))
+        else:
+            yield part
 
 
-#: Rows that the Python side of an operator holds at once.
-SLICE = 256
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in slices of few rows, so that what a worker derives from long texts stays small."""
+    """mapInArrow in slices of few rows and bytes, so that what a worker derives from long texts stays small."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return work(b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE))
+        yield from work(s for b in batches for s in _slices(b))
+        give_back()
 
     return df.mapInArrow(sliced, schema)
 
