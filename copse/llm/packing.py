@@ -26,7 +26,7 @@ from copse.llm.texts import batch, map_batches
 
 CAPACITY = 2048
 END_TOKEN = 1
-#: Chunks whose ids a worker's cache holds; only speed depends on it.
+#: Chunks whose ids a worker's cache holds, half of them those last used; only speed depends on it.
 CACHE_CHUNKS = 300_000
 
 #: White space on which str.split and the tokenizer might differ, and signs that make a text unfit for splitting.
@@ -34,6 +34,10 @@ _ODD_CODES = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2
 _ODD = re.compile("[" + "".join(map(chr, _ODD_CODES)) + "]")
 #: A sign before a comma or a stop: the tokenizer keeps runs of signs together, so such texts are not parted there.
 _RUN = re.compile(r"(?:[^\w\s]|_)[.,]")
+#: Of UTF-8: bytes that odd white space has, signs of ASCII and bytes beyond it, commas and stops. What they rule out needs no pattern.
+_MAY_BE_ODD = np.isin(np.arange(256), (*range(0x1C, 0x20), *{chr(c).encode()[0] for c in _ODD_CODES if c >= 0x80}))
+_MAY_RUN = np.array([c >= 128 or not (chr(c).isalnum() or chr(c).isspace()) for c in range(256)])
+_PART = np.isin(np.arange(256), (44, 46))
 
 
 class ChunkTokenizer:
@@ -51,6 +55,7 @@ class ChunkTokenizer:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,7 +64,8 @@ class ChunkTokenizer:
         """Chunks that can be tokenised apart; None if the text has to be tokenised whole."""
         if not text:
             return []
-        if _ODD.search(text):
+        codes = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        if _MAY_BE_ODD[codes].any() and _ODD.search(text):
             return None
         try:
             text.encode("latin-1")
@@ -67,42 +73,50 @@ class ChunkTokenizer:
                 text = text.lower()
         except UnicodeEncodeError:
             pass
-        return (text if _RUN.search(text) else text.replace(",", " ,").replace(".", " .")).split()
+        at = np.flatnonzero(_PART[codes[1:]])
+        return (text if _MAY_RUN[codes[at]].any() and _RUN.search(text) else text.replace(",", " ,").replace(".", " .")).split()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
         """Chunks of letters alone are one piece each: their ids end where a token ends a word. Others are tokenised each by itself."""
-        words = [c for c in new if c.isalpha()]
-        for i in range(0, len(words), 512):
-            part = words[i : i + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        words, others = [], []
+        for c in new:
+            (words if c.isalpha() else others).append(c)
+        runs = [words[i : i + 512] for i in range(0, len(words), 512)]
+        for part, found in zip(runs, self._ids([" ".join(part) for part in runs]), strict=True):
+            stops = (np.flatnonzero(self.ends[found]) + 1) * 4
             if len(stops) == len(part):
-                whole, ends = ids.tobytes(), stops.tolist()
-                self.chunks.update(zip(part, [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+                whole, ends = found.tobytes(), stops.tolist()
+                yield from zip(part, [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True)
             else:
-                self.chunks.update((w, self.whole(w)) for w in part)
-        for c in new:
-            if not c.isalpha():
-                self.chunks[c] = self.whole(c)
+                others += part
+        yield from zip(others, (x.tobytes() for x in self._ids(others)), strict=True)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _known(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of every chunk wanted. Chunks that were not used since the cache was half full go first."""
+        out, new = {}, []
+        get, older = self.chunks.get, self.older.get
+        for w in wanted:
+            x = get(w)
+            if x is None:
+                x = older(w)
+                if x is None:
+                    new.append(w)
+                    continue
+                self.chunks[w] = x
+            out[w] = x
+        for w, x in self._learn(new):
+            out[w] = self.chunks[w] = x
+        if len(self.chunks) > CACHE_CHUNKS // 2:
+            self.older, self.chunks = self.chunks, {}
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        get = self.chunks.get
-        found = [None if c is None else list(map(get, c)) for c in split]
-        new = {w for c, f in zip(split, found, strict=True) if c and None in f for w, x in zip(c, f, strict=True) if x is None}
-        known = self.chunks
-        if new:
-            if len(known) + len(new) > CACHE_CHUNKS:
-                self.chunks = {}  # found still has what it looked up
-            self._learn(list(new))
-            known = self.chunks
-        out = []
-        for t, c, f in zip(texts, split, found, strict=True):
-            if c is None:
-                out.append(self.whole(t))
-            else:
-                out.append(b"".join([known[w] if x is None else x for w, x in zip(c, f, strict=True)] if None in f else f))
-        return out
+        known = self._known(set().union(*(c for c in split if c)))
+        return [self.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
 
 
 class Packer:
@@ -206,9 +220,8 @@ def pack(docs: DataFrame, tokenize: Callable[[], Callable[[list], list[bytes]]],
             found = []
             ids = b.column(0).to_pylist()
             texts = b.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                for doc, got in zip(ids[at : at + 64], encode(texts[at : at + 64]), strict=True):
-                    found += rows(packer.add((doc, len(got) // 4 + 1), got + tail))
+            for doc, got in zip(ids, encode(texts), strict=True):
+                found += rows(packer.add((doc, len(got) // 4 + 1), got + tail))
             if found:
                 yield sent(found)
         if found := list(rows(packer.drain())):

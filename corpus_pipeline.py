@@ -1,11 +1,18 @@
-"""A corpus from raw documents to packed sequences. Each stage works on all rows that the one before it kept."""
+"""A corpus from raw documents to packed sequences. Each stage works on all rows that the one before it kept.
+
+Defined results, of every stage: an empty table gives an empty result. Null ids, repeated ids and repeated rows are kept apart by
+their texts; nulls in other columns and extra columns, whatever their names, are carried along by all stages but the last. A null
+text has no language, so language_id drops it; a later stage that is given one keeps it (exact_dedup counts it as empty, jaccard_join
+and decontamination find nothing in it, sequence_packing packs its end token). Of ties, jaccard_join keeps the smallest id and
+exact_dedup the largest; of equal texts with equal ids one row stays. Texts are read whole, however long.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from copse.llm import decontam, dedup, jaccard, langid, packing
-from copse.llm.common import documents, stash
+from copse.llm.common import discard, documents, stash
 from copse.llm.queries import vocabulary
 
 
@@ -49,7 +56,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stash(docs, name)
+            out = stash(out, name)
+            if i:
+                discard(spark, docs)  # written by this run and read for the last time
+        docs = out
     return docs
