@@ -18,13 +18,13 @@ from pyspark.sql import types as T
 
 from copse.functions import special
 from copse.operators.grow import NODE_SCHEMA, Grower, Sample
-from copse.operators.traverse import Rules, trees_of
+from copse.operators.traverse import Rules, forest_totals, trees_of
 from copse.plans.params import ForestParams
 
 #: Rows that one tree's task may hold.
 MOST_TASK_ROWS = 2_000_000
 #: Nodes that are broadcast at once; larger forests are scored in batches of trees whose sums are added.
-MOST_NODES = 4_000_000
+MOST_NODES = 1_000_000
 AUTO_SAMPLE = 10_000
 
 
@@ -79,8 +79,8 @@ class Schema:
         num = np.column_stack([pdf[c].to_numpy(float, na_value=np.nan) for c in self.numeric]) if self.numeric else np.empty((len(pdf), 0))
         cats = []
         for c, levels in zip(self.categorical, self.levels, strict=True):
-            known = {v: i for i, v in enumerate(levels)}
-            cats.append([-1 if v is None or v != v else known.get(v, len(levels)) for v in pdf[c]])
+            codes = pd.Categorical(pdf[c], categories=list(levels)).codes.astype(np.int64)
+            cats.append(np.where((codes < 0) & pdf[c].notna().to_numpy(), len(levels), codes))
         return num, np.array(cats, np.int64).T if cats else np.empty((len(pdf), 0), np.int64)
 
 
@@ -100,11 +100,15 @@ class IsolationForest:
     def set_params(self, **given) -> "IsolationForest":
         return IsolationForest(ForestParams.of(**(asdict(self.params) | given)))
 
-    def fit(self, df: DataFrame, columns: list[str] | None = None, *, weight_col: str | None = None, column_weights: dict[str, float] | None = None) -> "ForestModel":
-        return self._fit(df, columns, weight_col, column_weights, everything=False)
+    def fit(
+        self, df: DataFrame, columns: list[str] | None = None, *, weight_col: str | None = None, column_weights: dict[str, float] | None = None, key_cols: list[str] | None = None
+    ) -> "ForestModel":
+        """key_cols: columns that name a row. With them the samples, and so the forest, do not depend on how the table is parted."""
+        return self._fit(df, columns, weight_col, column_weights, everything=False, key_cols=key_cols)
 
-    def _fit(self, df, columns, weight_col, column_weights, everything: bool, first_tree: int = 0, schema: Schema | None = None) -> "ForestModel":
+    def _fit(self, df, columns, weight_col, column_weights, everything: bool, first_tree: int = 0, schema: Schema | None = None, key_cols=None) -> "ForestModel":
         p = self.params.resolved()
+        key_cols = list(key_cols) if key_cols else None
         columns = [c for c in columns or df.columns if c != weight_col]
         schema = schema or Schema.infer(df, columns, p.categ_cols)
         p = p.with_columns(len(schema.numeric), len(schema.categorical))
@@ -120,15 +124,15 @@ class IsolationForest:
             raise ValueError("this needs every row once, so it can't sample with replacement")
         depth = _max_depth(p, size)
         col_weight = np.array([(column_weights or {}).get(c, 1.0) for c in schema.columns]) if column_weights else None
-        sampled = _tree_samples(df, schema, p, n, size, weight_col, first_tree)
+        sampled = _tree_samples(df, schema, p, n, size, weight_col, first_tree, key_cols)
         as_prob = p.weights_as_sample_prob
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             tree = int(pdf["tree"].iloc[0])
             rng = np.random.default_rng([p.random_seed, tree])
             pdf = pdf.sort_values(["sort_key", *schema.columns], kind="stable").head(size).reset_index(drop=True)
-            if p.sample_with_replacement:
-                pdf = pdf.iloc[rng.integers(0, len(pdf), size)].reset_index(drop=True)
+            if len(pdf) < size:
+                raise ValueError(f"tree {tree} got {len(pdf)} rows of its sample of {size}; use another random_seed")
             num, cat = schema.arrays(pdf)
             weight = np.ones(len(pdf))
             if weight_col and not as_prob:
@@ -143,9 +147,22 @@ class IsolationForest:
         defaults = _defaults(df, schema) if p.build_imputer else ()
         return ForestModel(p, schema, nodes, size, special.expected_depth(size), special.expected_separation(size), defaults)
 
-    def fit_predict(self, df: DataFrame, columns: list[str] | None = None, *, output: str = "score", into: str | None = None) -> DataFrame:
-        """Fits on every row and scores them; needs the full sample unless sample_size says otherwise."""
-        return self._fit(df, columns, None, None, everything=True).predict(df, output, into)
+    def fit_predict(
+        self, df: DataFrame, columns: list[str] | None = None, *, output: str = "score", into: str | None = None, column_weights: dict[str, float] | None = None, key_cols: list[str] | None = None, id_col: str | None = None
+    ) -> DataFrame:
+        """Fits on every row and scores them; needs the full sample unless sample_size says otherwise.
+
+        output: one of predict's; "imputed" for df with its missing values filled; or a distance or kernel between rows named by id_col.
+        """
+        params = replace(self.params, build_imputer=True) if output == "imputed" else self.params
+        model = IsolationForest(params)._fit(df, columns, None, column_weights, everything=True, key_cols=key_cols)
+        if output == "imputed":
+            return model.transform(df)
+        if output in ("dist", "avg_sep", "kernel", "kernel_raw"):
+            if not id_col:
+                raise ValueError("values between rows need id_col")
+            return model.predict_distance(df, id_col, output)
+        return model.predict(df, output, into)
 
     def fit_transform(self, df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         """Fits an imputer on every row and fills their missing values."""
@@ -173,31 +190,76 @@ def _max_depth(p: ForestParams, size: int) -> int | None:
     return p.max_depth
 
 
-def _tree_samples(df: DataFrame, schema: Schema, p: ForestParams, n: int, size: int, weight_col: str | None, first: int) -> DataFrame:
+def _unit(h: Column) -> Column:
+    """A number strictly between 0 and 1 from a hash."""
+    return (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+def _enough(size: float) -> float:
+    """Expected candidates of a sample, about six deviations more than it needs."""
+    return size + 6 * math.sqrt(size) + 10
+
+
+def _weight_cut(df: DataFrame, weight: Column, size: int) -> float:
+    """The key -ln(u) / weight up to which at least enough rows are expected, from counts of rows by octave of their weight.
+
+    A row of weight w lies under t with a chance of 1 - exp(-w t); every row counts with its bin's least weight, so the cut is never low.
+    """
+    bins = df.where(weight > 0).groupBy(F.floor(F.log2(weight) * 4).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(weight).alias("low")).collect()  # at most some thousands
+    n, low = np.array([r["n"] for r in bins], float), np.array([r["low"] for r in bins], float)
+    if n.sum() < size:
+        raise ValueError(f"{int(n.sum())} rows have a positive weight, fewer than a sample of {size}")
+    want = _enough(size)
+    if want >= 0.9 * n.sum():
+        return math.inf
+    expected = lambda t: float(-(n * np.expm1(-low * t)).sum())
+    a, b = 0.0, 1.0 / low.max()
+    while expected(b) < want:
+        b *= 2
+    for _ in range(60):
+        mid = (a + b) / 2
+        a, b = (a, mid) if expected(mid) >= want else (mid, b)
+    return b
+
+
+def _tree_samples(df: DataFrame, schema: Schema, p: ForestParams, n: int, size: int, weight_col: str | None, first: int, key_cols: list[str] | None) -> DataFrame:
     """Rows (columns, sample_weight, sort_key, tree): candidates of every tree, about six deviations more than its sample.
 
+    A row is drawn by the hash of key_cols, so the same table gives the same sample however it is parted; without keys by its place.
     Uniform samples are drawn without replacement inside a tree, and without overlap between trees while the table has enough rows.
     With weights as probabilities, rows compete by -ln(u) / weight, which equals drawing one after another by weight.
+    With replacement, a row comes as often as a Poisson process of its rate arrives; of the arrivals the first `size` count, in an
+    order by chance, which are then as many independent draws from the whole table.
     """
     weight = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    rows = df.select(*schema.select(df), weight.alias("sample_weight"), F.xxhash64(F.monotonically_increasing_id(), F.lit(p.random_seed)).alias("row_hash"))
-    want = min(1.0, (size + 6 * math.sqrt(size) + 10) / n)
-    trees = list(range(first, first + p.ntrees))
+    key = [F.col(c) for c in key_cols] if key_cols else [F.monotonically_increasing_id()]
+    rows = df.select(*schema.select(df), weight.alias("sample_weight"), F.xxhash64(*key, F.lit(p.random_seed)).alias("row_hash"))
     by_weight = bool(weight_col) and p.weights_as_sample_prob
-    unit = lambda h: (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+    want = min(1.0, _enough(size) / n)
+    h, trees = F.col("row_hash"), F.sequence(F.lit(first), F.lit(first + p.ntrees - 1))
+    if p.sample_with_replacement:
+        total = df.agg(F.sum(F.when(weight > 0, weight))).first()[0] if by_weight else float(n)
+        rate = F.greatest(F.col("sample_weight"), F.lit(0.0)) * F.lit(_enough(size) / total) if by_weight else F.lit(_enough(size) / total)
+        gap = lambda t, k: -F.log(_unit(F.xxhash64(h, t, k)))
+        none = F.lit(1).cast("int")
+        rows = rows.withColumn("tree", F.explode(F.filter(trees, lambda t: gap(t, none) <= rate)))
+        # Few rows are left: the further arrivals of each, up to far beyond its rate.
+        later = F.sequence(F.lit(2), F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int"))
+        start = F.struct(gap(F.col("tree"), none).alias("at"), F.lit(1).alias("n"))
+        step = lambda acc, k: F.struct((acc["at"] + gap(F.col("tree"), k)).alias("at"), (acc["n"] + F.when(acc["at"] + gap(F.col("tree"), k) <= rate, 1).otherwise(0)).alias("n"))
+        rows = rows.withColumn("times", F.aggregate(later, start, step)["n"])
+        rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
+        return rows.withColumn("sort_key", _unit(F.xxhash64(h, "tree", "nth", F.lit("order")))).drop("row_hash", "times", "nth")
     if not by_weight and want * p.ntrees <= 1:
-        u = unit(F.col("row_hash"))
-        tree = F.floor(u / F.lit(want)).cast("int")
+        tree = F.floor(_unit(h) / F.lit(want)).cast("int")
         picked = rows.withColumn("tree", tree + F.lit(first)).where(tree < p.ntrees)
         return picked.withColumn("sort_key", F.xxhash64("row_hash", "tree").cast("double")).drop("row_hash")
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))))
-    u = unit(F.xxhash64("row_hash", "tree"))
-    if not by_weight:
-        return rows.withColumn("sort_key", u).where((F.col("sort_key") <= want) if want < 1 else F.lit(True)).drop("row_hash")
-    total = df.agg(F.sum(F.col(weight_col).cast("double"))).first()[0]
-    limit = -math.log(max(1e-12, 1 - want)) * n / total if want < 1 else math.inf
-    keyed = rows.where("sample_weight > 0").withColumn("sort_key", -F.log(u) / F.col("sample_weight"))
-    return keyed.where(F.col("sort_key") <= 4 * limit).drop("row_hash") if math.isfinite(limit) else keyed.drop("row_hash")
+    drawn = lambda t: -F.log(_unit(F.xxhash64(h, t))) / F.col("sample_weight") if by_weight else _unit(F.xxhash64(h, t))
+    cut = _weight_cut(df, weight, size) if by_weight else want if want < 1 else math.inf
+    if by_weight:
+        rows = rows.where("sample_weight > 0")
+    mine = F.filter(trees, lambda t: drawn(t) <= F.lit(cut)) if math.isfinite(cut) else trees
+    return rows.withColumn("tree", F.explode(mine)).withColumn("sort_key", drawn(F.col("tree"))).drop("row_hash")
 
 
 def _defaults(df: DataFrame, schema: Schema) -> tuple:
@@ -270,14 +332,9 @@ class ForestModel:
 
     def _over_batches(self, df: DataFrame, work, kind: str) -> list[Column]:
         """One column per batch of trees: work(trees, numbers, codes) over the model's columns; only they go to Python."""
-        spark, out = df.sparkSession, []
-        schema, rules = self.schema, self.rules()
+        spark, schema = df.sparkSession, self.schema
         features = F.struct(*schema.select(df))
-        for part in self._batches():
-            sent = spark.sparkContext.broadcast(part.drop(columns=["imp"]))
-
-            out.append(_values(sent, schema, rules, work, kind)(features))
-        return out
+        return [_values(spark.sparkContext.broadcast(trees_of(part, self.rules())), schema, work, kind)(features) for part in self._batches()]
 
     def predict(self, df: DataFrame, output: str = "score", into: str | None = None) -> DataFrame:
         """df with one more column. output: score, avg_depth (not standardised), tree_depths, tree_num (leaf numbers from 0).
@@ -288,8 +345,7 @@ class ForestModel:
         into = into or {"score": "score", "avg_depth": "avg_depth"}.get(output, output)
         metric, trees = self.params.scoring_metric, self.ntrees
         if output in ("score", "avg_depth"):
-            total = lambda ts, num, cat: np.sum([t.totals(num, cat) for t in ts], axis=0) if ts else np.zeros(len(num))
-            parts = self._over_batches(df, total, "double")
+            parts = self._over_batches(df, forest_totals, "double")
             mean = sum(parts[1:], parts[0]) / F.lit(float(trees))
             mean = F.nanvl(mean, F.lit(None).cast("double"))
             value = special.standardised(metric, mean, self.depth_norm) if output == "score" else special.raw(metric, mean)
@@ -317,21 +373,15 @@ class ForestModel:
 
     def leaf_table(self, df: DataFrame, id_col: str) -> DataFrame:
         """Long table id, tree, leaf (number), node, weight: every end of every row in every tree."""
-        schema, rules = self.schema, self.rules()
-        sent = df.sparkSession.sparkContext.broadcast(self.nodes.drop(columns=["imp"]))
-
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            trees = trees_of(sent.value, rules)
-            for pdf in batches:
-                num, cat = schema.arrays(pdf)
-                for k, t in enumerate(trees):
-                    rows, nodes, weight, _ = t.leaves(num, cat)
-                    ok = ~np.isnan(weight)
-                    yield pd.DataFrame({"id": pdf["row_id"].to_numpy()[rows[ok]], "tree": np.int32(k), "leaf": t.leaf_number[nodes[ok]].astype(np.int32), "node": nodes[ok].astype(np.int32), "weight": weight[ok]})
-
+        schema, first = self.schema, 0
         kind = df.schema[id_col].dataType.simpleString()
         rows = df.select(F.col(id_col).alias("row_id"), *schema.select(df))
-        return rows.mapInPandas(work, f"id {kind}, tree int, leaf int, node int, weight double")
+        out = None
+        for part in self._batches():
+            sent = df.sparkSession.sparkContext.broadcast(trees_of(part, self.rules()))
+            ends = rows.mapInPandas(_ends(sent, schema, first), f"id {kind}, tree int, leaf int, node int, weight double")
+            out, first = ends if out is None else out.unionByName(ends), first + part["tree"].nunique()
+        return out
 
     # -- imputation, distances, sets (see their modules) -----------------------------------------------------------------------
 
@@ -368,10 +418,13 @@ class ForestModel:
     def drop_imputer(self) -> "ForestModel":
         return replace(self, nodes=self.nodes.assign(imp=None), defaults=(), params=replace(self.params, build_imputer=False), uid=uuid.uuid4().hex)
 
-    def partial_fit(self, df: DataFrame, *, trees: int = 1) -> "ForestModel":
-        """With more trees, each grown on every row of df; scores keep the first fit's c(n), and seeds go on by tree number."""
+    def partial_fit(self, df: DataFrame, *, trees: int = 1, weight_col: str | None = None, column_weights: dict[str, float] | None = None, key_cols: list[str] | None = None) -> "ForestModel":
+        """With more trees, each grown on every row of df; scores keep the first fit's c(n), and seeds go on by tree number.
+
+        Rows may weigh (as density) and columns may have weights; leaves of new trees get no reference rows, as landmarks are tables.
+        """
         p = replace(self.params, sample_size=None, ntrees=trees, weights_as_sample_prob=False)
-        more = IsolationForest(p)._fit(df, list(self.schema.columns), None, None, True, self.ntrees, self.schema)
+        more = IsolationForest(p)._fit(df, list(self.schema.columns), weight_col, column_weights, True, self.ntrees, self.schema, key_cols)
         return replace(self, nodes=pd.concat([self.nodes, more.nodes], ignore_index=True), uid=uuid.uuid4().hex)
 
     def newest(self, trees: int) -> "ForestModel":
@@ -384,11 +437,22 @@ class ForestModel:
         save(spark, self, path)
 
 
-def _values(sent, schema: Schema, rules: Rules, work, kind: str):
+def _ends(sent, schema: Schema, first: int):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            num, cat = schema.arrays(pdf)
+            for k, t in enumerate(sent.value, first):
+                rows, nodes, weight, _ = t.leaves(num, cat)
+                ok = ~np.isnan(weight)
+                yield pd.DataFrame({"id": pdf["row_id"].to_numpy()[rows[ok]], "tree": np.int32(k), "leaf": t.leaf_number[nodes[ok]].astype(np.int32), "node": nodes[ok].astype(np.int32), "weight": weight[ok]})
+
+    return work
+
+
+def _values(sent, schema: Schema, work, kind: str):
     @F.pandas_udf(kind)
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        trees = trees_of(sent.value, rules)
         for pdf in batches:
-            yield pd.Series(work(trees, *schema.arrays(pdf)))
+            yield pd.Series(work(sent.value, *schema.arrays(pdf)))
 
     return values

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from copse.operators.forest import ForestModel
+from copse.operators.forest import MOST_NODES, ForestModel
 from copse.operators.traverse import trees_of
 
 
@@ -43,24 +43,30 @@ def impute(model: ForestModel, df: DataFrame) -> DataFrame:
     if not model.params.build_imputer:
         raise ValueError("the forest was fitted without an imputer")
     schema, rules = model.schema, model.rules()
-    nodes = df.sparkSession.sparkContext.broadcast(model.nodes)
+    if len(model.nodes) > MOST_NODES:
+        raise ValueError(f"an imputer of {len(model.nodes)} nodes is over the {MOST_NODES} that are sent at once; use fewer or smaller trees")
+    nodes = df.sparkSession.sparkContext.broadcast((trees_of(model.nodes, rules), _tables(model)))
     fields = [f"`{c}` double" for c in schema.numeric] + [f"`{c}` string" for c in schema.categorical]
     n_num, defaults = len(schema.numeric), model.defaults
     starts = np.cumsum([n_num, *[len(x) for x in schema.levels]])
 
     @F.pandas_udf(f"struct<{', '.join(f.replace(' ', ':', 1) if '` ' not in f else f.replace('` ', '`:') for f in fields)}>")
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = trees_of(nodes.value.drop(columns=["imp"]), rules)
-        tables = _tables(model_like(nodes.value, schema))
+        trees, tables = nodes.value
         for pdf in batches:
             num, cat = schema.arrays(pdf)
             holes = ~np.isfinite(num).all(axis=1) | (cat < 0).any(axis=1)
             at = np.flatnonzero(holes)
+            filled_levels = {}
             if len(at):
                 sums, weights = np.zeros((len(at), starts[-1])), np.zeros((len(at), starts[-1]))
                 for tree, (s, w) in zip(trees, tables, strict=True):
                     rows, ends, share, _ = tree.leaves(num[at], cat[at])
                     ok = ~np.isnan(share)
+                    if len(rows) == len(at) and ok.all() and (share == 1).all():  # every row ends once
+                        sums[rows] += s[ends]
+                        weights[rows] += w[ends]
+                        continue
                     np.add.at(sums, rows[ok], s[ends[ok]] * share[ok, None])
                     np.add.at(weights, rows[ok], w[ends[ok]] * share[ok, None])
                 for c in range(n_num):
@@ -71,10 +77,13 @@ def impute(model: ForestModel, df: DataFrame) -> DataFrame:
                 for k, levels in enumerate(schema.levels):
                     part = sums[:, starts[k] : starts[k + 1]]
                     bad = cat[at, k] < 0
-                    best = part.argmax(axis=1) if part.shape[1] else np.zeros(len(at), int)
-                    for i in np.flatnonzero(bad):
-                        pdf.loc[pdf.index[at[i]], schema.categorical[k]] = levels[best[i]] if part.shape[1] and part[i].max() > 0 else defaults[n_num + k]
-            out = {c: num[:, i] for i, c in enumerate(schema.numeric)} | {c: pdf[c] for c in schema.categorical}
+                    value = np.full(len(at), defaults[n_num + k], object)
+                    if part.shape[1]:
+                        value = np.where(part.max(axis=1) > 0, np.array(levels, object)[part.argmax(axis=1)], value)
+                    full = pdf[schema.categorical[k]].to_numpy(object, copy=True)
+                    full[at[bad]] = value[bad]
+                    filled_levels[schema.categorical[k]] = full
+            out = {c: num[:, i] for i, c in enumerate(schema.numeric)} | {c: filled_levels.get(c, pdf[c]) for c in schema.categorical}
             yield pd.DataFrame(out, columns=list(schema.columns))
 
     filled = fill(F.struct(*schema.select(df)))
@@ -94,13 +103,3 @@ def impute(model: ForestModel, df: DataFrame) -> DataFrame:
         return F.when(have, value.cast(kinds[c])).otherwise(F.col(c)).alias(c)
 
     return rows.select(*[back(c) if c in schema.columns else F.col(c) for c in df.columns])
-
-
-class _Like:
-    def __init__(self, nodes, schema):
-        self.nodes, self.schema = nodes, schema
-
-
-def model_like(nodes, schema):
-    """What _tables reads, inside a worker."""
-    return _Like(nodes, schema)

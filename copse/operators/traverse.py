@@ -1,4 +1,8 @@
-"""Rows through trees: level by level over node arrays in numpy. Missing values may part a row over several leaves with weights."""
+"""Rows through trees: level by level over node arrays in numpy. Missing values may part a row over several leaves with weights.
+
+Trees are arrays from the start: they are read once from the node table, and sent as they are.
+Rows without missing values go through trees without categorical splits on a short way that holds one node per row.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ import numpy as np
 
 LEAF, NUM, CAT, PLANE = 0, 1, 2, 3
 _KINDS = {"leaf": LEAF, "num": NUM, "single": CAT, "subset": CAT, "hplane": PLANE}
+#: Rows that the short way carries at once, so that its arrays stay in a core's cache.
+BLOCK = 8192
 
 
 @dataclass
@@ -22,43 +28,80 @@ class Rules:
 
 
 class Tree:
-    """One tree as arrays. rows: its node rows (dicts), ordered by node."""
+    """One tree as arrays over its nodes, in order."""
 
-    def __init__(self, rows: list[dict], rules: Rules):
+    def __init__(self, columns: dict[str, np.ndarray], rules: Rules):
+        """columns: the node table's columns of one tree, ordered by node; kind as numbers."""
         self.rules = rules
-        take = lambda name, kind, none=0: np.array([none if r[name] is None else r[name] for r in rows], kind)
-        self.kind = np.array([_KINDS[r["kind"]] for r in rows])
-        self.left, self.right, self.col = take("left", np.int64), take("right", np.int64), take("col", np.int64, -1)
-        self.split, self.pct, self.score = take("split", float), take("pct_left", float, 0.5), take("score", float, np.nan)
-        self.lo, self.hi, self.depth = take("lo", float, -np.inf), take("hi", float, np.inf), take("depth", np.int64)
-        leaves = np.flatnonzero(self.kind == LEAF)
-        self.leaf_number = np.full(len(rows), -1)
-        self.leaf_number[leaves] = np.arange(len(leaves))
-        cats = [i for i, r in enumerate(rows) if _KINDS[r["kind"]] == CAT]
+        self.kind, kinds = columns["kind"], columns["name"]
+        n = len(self.kind)
+        self.left, self.right, self.col, self.depth = (columns[c].astype(np.int32) for c in ("left", "right", "col", "depth"))
+        self.split, self.pct, self.score, self.lo, self.hi = (columns[c] for c in ("split", "pct_left", "score", "lo", "hi"))
+        leaves = self.kind == LEAF
+        self.leaf_number = np.where(leaves, np.cumsum(leaves) - 1, -1).astype(np.int32)
+        cats = np.flatnonzero(self.kind == CAT)
         wide = max(rules.n_levels, default=1)
-        self.cat_at = np.full(len(rows), -1)
+        self.cat_at = np.full(n, -1, np.int32)
         self.cat_at[cats] = np.arange(len(cats))
         self.cat_side = np.full((max(1, len(cats)), wide), -1, np.int8)  # 1 left, 0 right, -1 not at this node
-        self.cat_single = np.array([rows[i]["kind"] == "single" for i in cats] or [False])
+        self.cat_single = np.array([kinds[i] == "single" for i in cats] or [False])
         for k, i in enumerate(cats):
-            if rows[i]["kind"] == "single":
+            if kinds[i] == "single":
                 self.cat_side[k] = 0
-            self.cat_side[k, list(rows[i]["cat_right"])] = 0
-            self.cat_side[k, list(rows[i]["cat_left"])] = 1
-        planes = [i for i, r in enumerate(rows) if r["kind"] == "hplane"]
-        self.plane_at = np.full(len(rows), -1)
+            self.cat_side[k, list(columns["cat_right"][i])] = 0
+            self.cat_side[k, list(columns["cat_left"][i])] = 1
+        planes = np.flatnonzero(self.kind == PLANE)
+        self.plane_at = np.full(n, -1, np.int32)
         self.plane_at[planes] = np.arange(len(planes))
-        deep = max((len(rows[i]["terms"]) for i in planes), default=0)
+        deep = max((len(columns["terms"][i]) for i in planes), default=0)
         shape = (max(1, len(planes)), deep)
-        self.t_col = np.full(shape, -1)
+        self.t_col = np.full(shape, -1, np.int32)
         self.t_coef, self.t_mean, self.t_fill, self.t_new = (np.zeros(shape) for _ in range(4))
-        self.t_cats = np.full((*shape, wide), np.nan)
+        with_levels = any(t["cats"] is not None for i in planes for t in columns["terms"][i])
+        self.t_cats = np.full((*shape, wide if with_levels else 1), np.nan)
         for k, i in enumerate(planes):
-            for d, t in enumerate(rows[i]["terms"]):
+            for d, t in enumerate(columns["terms"][i]):
                 self.t_col[k, d], self.t_coef[k, d], self.t_mean[k, d], self.t_fill[k, d], self.t_new[k, d] = t["col"], t["coef"], t["mean"], t["fill"], t["fill_new"]
                 if t["cats"] is not None:
                     c = [np.nan if v is None else v for v in t["cats"]]
                     self.t_cats[k, d, : len(c)] = c
+        #: Whether rows without missing values can take the short way.
+        self.short = not len(cats) and not with_levels and not rules.penalize_range
+        self.steps = int(self.depth.max(initial=0))
+        if self.short:
+            self._shorten(planes)
+
+    def _shorten(self, planes: np.ndarray) -> None:
+        """Per node: both children side by side (a leaf is its own), and the terms of its value."""
+        me = np.arange(len(self.kind), dtype=np.int32)
+        leaf = self.kind == LEAF
+        self.child = np.stack([np.where(leaf, me, self.right), np.where(leaf, me, self.left)], axis=1).ravel().astype(np.int32)
+        self.test = np.where(leaf, np.inf, self.split)
+        if not len(planes):
+            self.x_col, self.x_coef, self.x_mean = [np.where(leaf, 0, self.col).astype(np.int32)], None, None
+            return
+        k, deep = self.plane_at, self.t_col.shape[1]
+        at = lambda a, d, none: np.where(k >= 0, a[np.maximum(k, 0), d], none)
+        self.x_col, self.x_coef, self.x_mean = [], [], []
+        for d in range(deep):
+            col = at(self.t_col, d, -1)
+            single = (self.kind == NUM) & (d == 0)
+            self.x_col.append(np.where(single, self.col, np.maximum(col, 0)).astype(np.int32))
+            self.x_coef.append(np.where(single, 1.0, np.where(col >= 0, at(self.t_coef, d, 0.0), 0.0)))
+            self.x_mean.append(np.where(single, 0.0, at(self.t_mean, d, 0.0)))
+
+    def ends(self, flat: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """The leaf node of every row without missing values, on the short way. flat: the rows' finite numbers; base: where each begins."""
+        node = np.zeros(len(base), np.int32)
+        for _ in range(self.steps):
+            if self.x_coef is None:
+                z = flat[base + self.x_col[0][node]]
+            else:
+                z = 0.0
+                for col, coef, mean in zip(self.x_col, self.x_coef, self.x_mean, strict=True):
+                    z = z + coef[node] * (flat[base + col[node]] - mean[node])
+            node = self.child[2 * node + (z <= self.test[node])]
+        return node
 
     def _plane_values(self, num: np.ndarray, cat: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         k, z = self.plane_at[nodes], np.zeros(len(rows))
@@ -83,6 +126,10 @@ class Tree:
     def leaves(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf node, weight, penalty) of every end of every row; a failed row ends with weight NaN. Rows that are not parted end once with weight 1."""
         n = len(num)
+        if self.short and n and np.isfinite(num).all():
+            flat = np.ascontiguousarray(num).ravel()
+            parts = [self.ends(flat, np.arange(i, min(n, i + BLOCK)) * num.shape[1]) for i in range(0, n, BLOCK)]
+            return np.arange(n), np.concatenate(parts).astype(np.int64), np.ones(n), np.zeros(n)
         rows, nodes, weight, penalty = np.arange(n), np.zeros(n, np.int64), np.ones(n), np.zeros(n)
         done = []
         rules = self.rules
@@ -145,6 +192,28 @@ class Tree:
         return np.bincount(rows, weight * (self.score[np.minimum(nodes, len(self.score) - 1)] - penalty), len(num)) if not np.isnan(weight).any() else _failed(rows, nodes, weight, penalty, self.score, len(num))
 
 
+def forest_totals(trees: list[Tree], num: np.ndarray, cat: np.ndarray) -> np.ndarray:
+    """Sums over trees for every row. Rows without missing values share what the short way prepares."""
+    out = np.zeros(len(num))
+    if not trees or not len(num):
+        return out
+    whole = np.isfinite(num).all(axis=1) if all(t.short for t in trees) else np.zeros(len(num), bool)
+    at = np.flatnonzero(whole)
+    if len(at):
+        flat = np.ascontiguousarray(num if len(at) == len(num) else num[at]).ravel()
+        total = np.zeros(len(at))
+        for i in range(0, len(at), BLOCK):
+            base = np.arange(i, min(len(at), i + BLOCK)) * num.shape[1]
+            part = total[i : i + BLOCK]
+            for t in trees:
+                part += t.score[t.ends(flat, base)]
+        out[at] = total
+    rest = np.flatnonzero(~whole)
+    if len(rest):
+        out[rest] = np.sum([t.totals(num[rest], cat[rest]) for t in trees], axis=0)
+    return out
+
+
 def _failed(rows, nodes, weight, penalty, score, n) -> np.ndarray:
     value = np.where(np.isnan(weight), 0, weight * (np.nan_to_num(score[nodes]) - penalty))
     out = np.bincount(rows, value, n)
@@ -152,9 +221,19 @@ def _failed(rows, nodes, weight, penalty, score, n) -> np.ndarray:
     return out
 
 
+#: What a node's missing number stands for.
+_NONE = {"left": 0, "right": 0, "col": -1, "depth": 0, "split": 0.0, "pct_left": 0.5, "score": np.nan, "lo": -np.inf, "hi": np.inf}
+
+
 def trees_of(nodes, rules: Rules) -> list[Tree]:
     """nodes: a pandas frame of node rows; trees in order."""
-    out = []
-    for _, part in nodes.groupby("tree", sort=True):
-        out.append(Tree(part.sort_values("node").to_dict("records"), rules))
-    return out
+    nodes = nodes.sort_values(["tree", "node"], kind="stable")
+    columns = {"name": nodes["kind"].to_numpy(object)}
+    columns["kind"] = nodes["kind"].map(_KINDS).to_numpy(np.int8)
+    for name, none in _NONE.items():
+        columns[name] = nodes[name].astype(float).fillna(none).to_numpy()
+    for name in ("cat_left", "cat_right", "terms"):
+        columns[name] = nodes[name].to_numpy(object)
+    tree = nodes["tree"].to_numpy()
+    starts = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1]))) if len(tree) else []
+    return [Tree({k: v[a:b] for k, v in columns.items()}, rules) for a, b in zip(starts, [*starts[1:], len(tree)], strict=True)]

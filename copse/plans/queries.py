@@ -233,7 +233,7 @@ def _c_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fitted(name: str, p: params.ForestParams, columns: list[str], rows=_lineitem) -> None:
-    query(name)(lambda spark, d: IsolationForest(p).fit(rows(spark, d), columns).predict(rows(spark, d)).select(*_KEYS, "score"))
+    query(name)(lambda spark, d: IsolationForest(p).fit(rows(spark, d), columns, key_cols=_KEYS).predict(rows(spark, d)).select(*_KEYS, "score"))
 
 
 _fitted("fit_iforest", params.iforest(), NUM)
@@ -248,15 +248,15 @@ _fitted("fit_extended_mixed", params.ForestParams.of(ndim=2), MIXED, _with_holes
 @query("fit_transform_impute")
 def _fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_holes(spark, sf_dir)
-    model = IsolationForest.of(build_imputer=True).fit(rows, MIXED)
+    model = IsolationForest.of(build_imputer=True).fit(rows, MIXED, key_cols=_KEYS)
     return model.transform(rows).select(*_KEYS, *MIXED)
 
 
 @query("fit_partial")
 def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    model = IsolationForest(params.iforest(ntrees=10)).fit(rows, ["o_totalprice", "o_custkey"])
-    return model.partial_fit(rows).predict(rows).select("o_orderkey", "score")
+    model = IsolationForest(params.iforest(ntrees=10)).fit(rows, ["o_totalprice", "o_custkey"], key_cols=["o_orderkey"])
+    return model.partial_fit(rows, key_cols=["o_orderkey"]).predict(rows).select("o_orderkey", "score")
 
 
 @query("forest_save_load", _SQL["forest_score_depth"])
@@ -271,7 +271,7 @@ def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 most anomalous order lines under a fitted isolation forest."""
     rows = _lineitem(spark, sf_dir)
-    scored = IsolationForest(params.iforest()).fit(rows, NUM).predict(rows)
+    scored = IsolationForest(params.iforest()).fit(rows, NUM, key_cols=_KEYS).predict(rows)
     return scored.select(*_KEYS, *NUM, "score").orderBy(F.desc("score"), *_KEYS).limit(20)
 
 
