@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.texts import SHINGLE, SLICE, batch, map_batches, mix, shingle_hashes, word_runs
+from copse.llm.texts import SHINGLE, SLICE, batch, give_back, map_batches, mix, shingle_hashes, small_batches, word_runs
 
 FUNCTIONS = 48
 PERCENT = 80
@@ -165,6 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs without the rows that hold an item. All columns stay; only the text goes to Python."""
+    small_batches(docs.sparkSession)
     for items in _blocks(benchmark, item_col, item_text_col, block_items):
         searcher = Searcher([r["text"] for r in items], percent)
 
@@ -176,6 +177,8 @@ def _clean(searcher: Searcher):
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:
         parts = [text.slice(i, SLICE) for i in range(0, len(text), SLICE)]
-        return pa.array([not searcher.find(words) for part in parts for words in words_of_each(part)], pa.bool_())
+        found = pa.array([not searcher.find(words) for part in parts for words in words_of_each(part)], pa.bool_())
+        give_back()
+        return found
 
     return clean

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from copse.llm.texts import batch, map_batches, raw
+from copse.llm.texts import batch, map_batches, raw, small_batches
 
 BUCKET_BITS = 15
 ORDERS = (2, 3, 4)
@@ -188,10 +188,10 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; all columns stay. Only the text goes to Python."""
 
-    @F.pandas_udf("boolean")
-    def keeps(text):
-        import pandas as pd
+    small_batches(docs.sparkSession)
 
-        return pd.Series([not model.predict(t)[2] for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def keeps(text: pa.Array) -> pa.Array:
+        return pa.array([not model.predict(t)[2] for t in text.to_pylist()], pa.bool_())
 
     return docs.where(keeps(F.col(text_col).cast("string")))

@@ -113,6 +113,10 @@ class ChunkTokenizer:
             self.older, self.chunks = self.chunks, {}
         return out
 
+    def rest(self) -> None:
+        """Halves the cache between tasks: idle workers hold little."""
+        self.older = {}
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self._split(t) for t in texts]
         known = self._known(set().union(*(c for c in split if c)))
@@ -226,6 +230,8 @@ def pack(docs: DataFrame, tokenize: Callable[[], Callable[[list], list[bytes]]],
                 yield sent(found)
         if found := list(rows(packer.drain())):
             yield sent(found)
+        if hasattr(encode, "rest"):
+            encode.rest()
 
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"cast(`{text_col}` as string) as text"), work, _SCHEMA)
 

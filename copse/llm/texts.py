@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z; every other byte stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -118,6 +118,9 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 #: Rows and bytes of a column that the Python side of an operator holds at once; a longer row is held by itself.
 SLICE, SLICE_BYTES = 256, 4 << 20
+#: Bytes after which Spark closes a batch for Python. The session's setting is lowered to it, as 10,000 long texts would be one batch.
+BATCH_BYTES = 4 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -146,8 +149,15 @@ def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterat
         yield from work(s for b in batches for s in _slices(b))
         give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(sliced, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_SETTING))
+    if held > BATCH_BYTES:
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
