@@ -1,6 +1,5 @@
 """Registered queries over whole tables, and the same results as DuckDB SQL where it can express them."""
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from copse.functions import frames, special
 from copse.operators import similarity
 from copse.operators.forest import ForestModel, IsolationForest
-from copse.plans import export, params
+from copse.plans import export, handmade, params
 from copse.plans.pinned import pinned
 from copse.sources import store
 
@@ -136,6 +135,17 @@ def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineitem(spark, sf_dir).select(*_KEYS, F.round(F.expr(export.score_sql(_PLAIN.subset_trees([4, 0, 0]), enclose="backticks")), 8).alias("score"))
 
 
+# -- forests written out by hand against SQL written by hand ---------------------------------------------------------------------
+
+for _name in handmade.SCORED:
+    query(_name, handmade.score_sql(_HOLES, _name))(lambda spark, d, name=_name: handmade.score(spark, _with_holes(spark, d), name))
+
+
+@query("hand_distance", handmade.DISTANCE_SQL)
+def _hand_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handmade.distance(spark, _table(spark, sf_dir, "supplier"))
+
+
 # -- kernels, distances, imputation ---------------------------------------------------------------------------------------------
 
 _SUP = pinned("supplier", missing_action="fail", ntrees=6)
@@ -262,8 +272,7 @@ def _partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("forest_save_load", _SQL["forest_score_depth"])
 def _saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pinned("lineitem", scoring_metric="depth", missing_action="impute")
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{root.rstrip('/')}/forest-{uuid.uuid4().hex}"
+    path = f"{store.shared_folder(spark)}/forest-{uuid.uuid4().hex}"
     model.save(spark, path)
     return store.load(spark, path).predict(_lineitem(spark, sf_dir)).select(*_KEYS, F.round("score", 8).alias("score"))
 

@@ -1,6 +1,8 @@
 """A forest as files: node rows in Parquet and one JSON row of metadata. Appended trees are further files of the same table."""
 
 import json
+import re
+import tempfile
 from dataclasses import asdict
 
 import pandas as pd
@@ -66,3 +68,14 @@ def from_nodes(nodes: DataFrame, params: ForestParams, schema: Schema, sample_si
     """A model from a table of nodes, such as a pinned or hand-built forest."""
     rows = nodes.orderBy("tree", "node").toArrow().to_pandas()
     return ForestModel(params, schema, rows, sample_size, depth_norm, sep_norm, defaults)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local session may use one of its own; on a cluster others could not read that."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors share")
+        root = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="copse-shared-")
+        shared_folder.own = root
+    return root.rstrip("/")
