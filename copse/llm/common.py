@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where a local session leaves it unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set; name a folder that the driver and all executors share")
         root = getattr(shared_root, "own", None) or tempfile.mkdtemp(prefix="copse-shared-")
         shared_root.own = root
     return root.rstrip("/")
