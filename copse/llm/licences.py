@@ -5,7 +5,7 @@ over " word word ... ", so a phrase matches whole consecutive words only, at eve
 
 Defined results: a null text counts as empty: no words, no places, null first_word and last_word, empty labels, score 0. A tag
 whose expression does not parse gives evidence but no label. Repeated rows are treated alike, an empty table gives an empty
-result, and extra columns are ignored.
+result, and extra columns are ignored. Words of an expression that name no known licence give no label and permit nothing.
 """
 
 from __future__ import annotations
@@ -34,12 +34,38 @@ NOTICES = {
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
     "released into the public domain": "public-domain",
+    "apache license 2 0": "apache-2",
+    "licensed under the apache license": "apache",
+    "gnu general public license version 2": "gpl-2",
+    "gnu general public license version 3": "gpl-3",
+    "gnu general public license v2": "gpl-2",
+    "gnu general public license v3": "gpl-3",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3",
+    "mozilla public license version 2 0": "mpl-2",
+    "mozilla public license v 2 0": "mpl-2",
+    "boost software license": "bsl",
+    "cc0 1 0": "cc0",
+    "cc by sa": "cc-by-sa",
+    "cc by nd": "cc-by-nd",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "creative commons attribution noderivatives": "cc-by-nd",
 }
 TAG = "spdx license identifier"
 _TAGGED = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 
 #: Families that allow use in training data; anything else, unknown ids included, does not.
 PERMISSIVE = frozenset("mit apache-2 bsd bsd-2-clause bsd-3-clause isc zlib unlicense cc0 cc-by public-domain python-2 bsl-1 0bsd".split())
+#: Families of licence ids without their versions. An id of no family, such as a word after the expression, is not a licence.
+FAMILIES = frozenset(
+    "0bsd aal afl agpl apache apsl artistic artistic-perl blueoak bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear "
+    "bsd-3-clause-lbnl bsd-4-clause bsd bsl busl bzip2 cal cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa cc-by-nd cc-by-sa cc-pddc cc0 cddl cecill cecill-b cecill-c "
+    "cpal cpl curl ecl efl elastic epl eudatagrid eupl fair ftl gfdl gpl hpnd ibm-pibs icu ijg imagemagick info-zip intel ipl isc json lgpl lgpllr "
+    "libpng libtiff lppl mit mit-cmu mit-modern-variant mpl ms-lpl ms-pl ms-rl mulanpsl ncsa netcdf ngpl nposl ntp odbl odc-by ofl oldap openssl opl osl "
+    "pddl php polyform-noncommercial polyform-small-business postgresql psf public-domain python qpl ruby sgi-b sleepycat spencer sspl tcl ubuntu-font "
+    "unicode unicode-dfs unlicense upl vim vsl w3c watcom wtfpl x11 xfree86 xnet zend zlib zlib-acknowledgement zpl".split()
+)
 #: How sure one finding of a kind makes a licence statement.
 WEIGHT = {"tag": 0.95, "base": 0.8, "notice": 0.6}
 
@@ -54,6 +80,11 @@ def family(identifier: str) -> str:
     return re.sub(r"-\d[\d.]*$", "", x) if x.startswith("cc") else x
 
 
+def is_licence(name: str) -> bool:
+    """Whether a family name is a known licence, of any version, or a reference to a licence text of the document's own."""
+    return name in FAMILIES or re.sub(r"-\d[\d.]*$", "", name) in FAMILIES or name.startswith(("licenseref-", "documentref-"))
+
+
 @dataclass(frozen=True)
 class Terms:
     """What an expression comes to: the licence families named, and whether some choice it offers is permissive."""
@@ -101,7 +132,7 @@ def to_postfix(expression: str) -> list[str] | None:
 
 
 def evaluate(expression: str) -> Terms | None:
-    """"or" is permissive if a side is, "and" if both are; "with" adds an exception, which only widens its licence."""
+    """"or" is permissive if a side is, "and" if both are; "with" adds an exception, which only widens its licence. Unknown ids have no label."""
     postfix = to_postfix(expression)
     if postfix is None:
         return None
@@ -109,7 +140,7 @@ def evaluate(expression: str) -> Terms | None:
     for token in postfix:
         if token not in _RANK:
             name = family(token)
-            stack.append(Terms(frozenset([name]), name in PERMISSIVE))
+            stack.append(Terms(frozenset([name] if is_licence(name) else []), name in PERMISSIVE))
             continue
         b, a = stack.pop(), stack.pop()
         if token == "with":
