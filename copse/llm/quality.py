@@ -5,7 +5,8 @@ feature to the current gradients and adding it to that feature's lookup table. T
 two-way tables, grown in the same way by trees that split one feature and then the other. A score is the logistic function of the
 sum of the looked-up values, taken for a whole batch at once.
 
-Learning takes a bounded sample of labelled rows: the `sample` rows with the smallest hashes of their ids.
+Learning takes a bounded sample of labelled rows: the `sample` labels with the smallest hashes of their ids. Should ids repeat among
+the documents, at most `sample * per_label` rows are kept in all, those with the smallest hashes of id and text.
 
 Defined results: null and empty texts have all features 0 and are scored like any text. Labels that are null are not learned
 from; with no label, or only one class, the score is the smoothed share of label 1 (0.5 without labels). Null ids count as not
@@ -172,17 +173,21 @@ def _remainder(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held: int = 1, sample: int = 12_000, **options) -> Gam:
-    """Learns label_col from at most `sample` labelled rows whose crc32 remainder is not `held`; the labels of the sample are broadcast, a size the parameter bounds."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held: int = 1, sample: int = 12_000, per_label: int = 4, **options) -> Gam:
+    """Learns label_col from at most `sample` labels, and `sample * per_label` rows, whose crc32 remainder is not `held`.
+
+    The labels of the sample are broadcast, a size the parameter bounds; the rows are ordered by hash before they are bounded, so the
+    model does not depend on the order or the number of partitions.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     picked = known.where(_remainder(modulus) != held).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", "text").limit(4 * sample)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("y", F.xxhash64("doc_id", "text").alias("h"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(["y", "x"], b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64())))
+            yield batch(["y", "h", "x"], b.column(0), b.column(1), pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64())))
 
-    got = map_batches(rows, work, "y int, x array<double>").toArrow()
+    got = map_batches(rows, work, "y int, h long, x array<double>").orderBy("h", "y").limit(sample * per_label).toArrow()
     y = np.array(got["y"].to_pylist(), float)
     x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y))  # the same model however the rows arrive
