@@ -38,6 +38,9 @@ NOISE_WORDS = re.compile(
     r"popup|modal|overlay|login|signup|complementary|contentinfo|search)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
+#: Classes that tell of the layout (has-sidebar, no-header), not what the part is.
+_LAYOUT = re.compile(r"(?:has|have|with|without|no|hide)[_-]", re.IGNORECASE)
+
 #: Elements that end a block of text where they begin and end.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main body table tr blockquote pre figure figcaption hr address details summary center".split())
 CONTAINERS = frozenset("body main article section div td blockquote center".split())
@@ -58,7 +61,8 @@ def _is_noise(tag: str, attrs: str) -> bool:
         return True
     if tag in ("article", "main", "body", "html") or not attrs:
         return False
-    return any(NOISE_WORDS.search(m[1] or m[2] or m[3] or "") for m in _NAMES.finditer(attrs))
+    words = (w for m in _NAMES.finditer(attrs) for w in (m[1] or m[2] or m[3] or "").split())
+    return any(NOISE_WORDS.search(w) and not _LAYOUT.match(w) for w in words)
 
 
 def blocks(page: str | None) -> list[tuple[str, str, int]]:
