@@ -77,7 +77,8 @@ _BASE = {
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+    "iban": r"\b(?:" + "|".join(rf"{country}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for country, n in pii.IBAN_LENGTHS.items()) + r")\b",
+    "secret": r"\b[0-9A-Fa-f]{32,64}\b",
 }
 _DIGITS = "regexp_replace(s.hit, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(string_split(reverse({_DIGITS}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT ELSE (c::INT * 2) // 10 + (c::INT * 2) % 10 END)) % 10 = 0"
@@ -88,7 +89,8 @@ _HOLDS = {
     "ip": "len(list_filter(string_split(s.hit, '.'), lambda p: p::HUGEINT > 255)) = 0",
     "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
-    "iban": f"length({_FLAT}) BETWEEN 15 AND 34 AND {_MOD97} AND NOT regexp_matches(coalesce(s.before, ' ') || s.after, '[A-Za-z0-9]')",
+    "iban": _MOD97,
+    "secret": "regexp_matches(s.hit, '[0-9]') AND regexp_matches(s.hit, '[A-Za-z]')",
 }
 
 
@@ -98,6 +100,8 @@ def _op7_sql() -> str:
         parts.append(f"""
   SELECT doc_id, t, {rank} AS rank, '{kind}' AS kind, unnest(list_zip(regexp_extract_all(t, '(?s)(.*?)({pattern})', 1), regexp_extract_all(t, '(?s)(.*?)({pattern})', 2))) AS z,
          generate_subscripts(regexp_extract_all(t, '(?s)(.*?)({pattern})', 1), 1) AS i FROM d""")
+    near = " ".join(f"WHEN kind = '{k}' THEN regexp_matches(t[greatest(start - 40, 0) + 1:start], '(?i)\\b(?:{words})\\b')" for k, words in pii.CONTEXT.items())
+    prior = " ".join(f"WHEN kind = '{k}' THEN {p}" for k, p in pii.PRIOR.items())
     holds = " ".join(f"WHEN s.kind = '{k}' THEN {x}" for k, x in _HOLDS.items())
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in list(_BASE)[:4])
     order = "ORDER BY start, rank"
@@ -105,11 +109,13 @@ def _op7_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 raw AS ({' UNION ALL '.join(parts)}),
 placed AS (SELECT doc_id, t, rank, kind, z[2] AS hit, (sum(length(z[1]) + length(z[2])) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS stop FROM raw),
-s AS (SELECT doc_id, rank, kind, hit, stop - length(hit) AS start, stop, CASE WHEN stop > length(hit) THEN t[stop - length(hit)] END AS before, t[stop + 1] AS after FROM placed),
-ok AS (SELECT doc_id, rank, kind, start, kind || ':' || start || ':' || stop AS told FROM s WHERE CASE {holds} END),
-per AS (SELECT doc_id, {counts}, coalesce(string_agg(told, ',' {order}) FILTER (kind <> 'iban'), '') AS base, string_agg(told, ',' {order}) AS spans FROM ok GROUP BY doc_id)
+s AS (SELECT doc_id, t, rank, kind, hit, stop - length(hit) AS start, stop FROM placed),
+sure AS (SELECT doc_id, rank, kind, start, kind || ':' || start || ':' || stop AS told, CASE {prior} END + CASE WHEN CASE {near} END THEN 20 ELSE -10 END AS score FROM s WHERE CASE {holds} END),
+ok AS (SELECT *, printf('%d.%02d', score // 100, score % 100) AS shown FROM sure WHERE score >= 50 OR kind NOT IN ('iban', 'secret')),
+per AS (SELECT doc_id, {counts}, coalesce(string_agg(told, ',' {order}) FILTER (kind NOT IN ('iban', 'secret')), '') AS base, string_agg(told, ',' {order}) AS spans, string_agg(shown, ',' {order}) AS scores
+        FROM ok GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN per ON d.doc_id = per.doc_id
 """
 
