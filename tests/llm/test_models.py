@@ -44,6 +44,15 @@ def test_language_sample_is_shared_evenly(docs, monkeypatch):
     assert seen[1] == seen[0] and (a.table == b.table).all()
 
 
+def _gam_score(gam, x):
+    """One lookup at a time: a value's bin is the number of cuts at or below it."""
+    at = lambda cuts, v: sum(c <= v for c in cuts)
+    total = gam.base + sum(table[at(cuts, v)] for cuts, table, v in zip(gam.edges, gam.tables, x, strict=True))
+    for (i, j), table in zip(gam.pairs, gam.pair_tables, strict=True):
+        total += table[at(gam.pair_edges[i], x[i]), at(gam.pair_edges[j], x[j])]
+    return 1 / (1 + np.exp(-total))
+
+
 def test_quality(spark, docs):
     rng = random.Random(4)
     rows, labels = [], []
@@ -60,6 +69,12 @@ def test_quality(spark, docs):
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["held_out"]]
     assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in held)
     assert np.mean([r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held]) > 0.97
+    again = quality.fit(docs(rows).repartition(7), table, rounds=20, pair_rounds=5)
+    assert all((a == b).all() for a, b in zip([*gam.tables, *gam.pair_tables], [*again.tables, *again.pair_tables], strict=True))
+    text = dict(rows)
+    for r in got[::20]:
+        if r["doc_id"] is not None:
+            assert r["score"] == pytest.approx(_gam_score(gam, quality.features(text[r["doc_id"]])))
     flat = quality.fit(docs(rows), table.where("false"))
     assert all(r["score"] == 0.5 for r in quality.score(docs(rows[:3]), flat).collect()) and quality.score(docs([]), flat).isEmpty()
 
@@ -101,6 +116,10 @@ def test_licences_against_brute_force(docs):
 def test_expressions():
     assert licences.to_postfix("MIT or (GPL-2.0 with X and Apache-2.0)") == "mit gpl-2.0 x with apache-2.0 and or".split()
     assert licences.to_postfix("(MIT") is None and licences.to_postfix("and MIT") is None and licences.to_postfix("") is None
+    assert licences.evaluate("MIT and see the file COPYING") == licences.Terms(frozenset(["mit"]), False)
+    assert licences.evaluate("none of the above").labels == licences.evaluate("see COPYING").labels == frozenset()
+    assert licences.evaluate("LicenseRef-Mine OR Apache-2.0").labels == {"licenseref-mine", "apache-2"}
+    assert licences.evaluate("LGPL-2.1-or-later WITH Some-exception").labels == {"lgpl-2.1"}
     assert licences.evaluate("MIT OR GPL-3.0").permits and not licences.evaluate("MIT AND GPL-3.0").permits
 
 
@@ -172,6 +191,9 @@ NESTED = {
     "main": (f"<main><section class=a><p>{LONG}</p></section><section class=b><p>{MORE}</p></section><article class='comment-3'><p>A reader says so.</p></article></main>", [LONG, MORE]),
     "deep": (f"<article><h1>Head</h1><div class=w><div class=v><div class=content><p>{LONG}</p></div></div></div></article>", ["Head", LONG]),
     "body": (f"<div class=top><a href='/'>Home</a> | <a href='/b'>About us</a></div><h1>Head</h1><div class=content><p>{LONG}</p></div><div class=rest><p>{MORE}</p></div>", ["Head", LONG, MORE]),
+    "layout": (f"<div class='layout has-sidebar'><div class='post'><h1>Head</h1><p>{LONG}</p></div><div class='sidebar'><p>{MORE}</p></div></div>", ["Head", LONG]),
+    "quote": (f"<article><h1>Head</h1><p>An intro of some words.</p><blockquote><p>{LONG}</p></blockquote><p>The closing words.</p></article>", ["Head", "An intro of some words.", LONG, "The closing words."]),
+    "paras": (f"<div class='post'><h1>Head</h1><div class='para'>{LONG}</div><div class='para'>{MORE}</div></div>", ["Head", LONG, MORE]),
     "alone": (f"<div class=top><a href='/'>Home</a></div><div class=content><p>{LONG}</p></div>", [LONG]),
 }
 

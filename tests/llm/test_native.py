@@ -122,6 +122,37 @@ def test_pii_against_brute_force(docs):
     assert pii.pii_report(docs([])).isEmpty()
 
 
+HEX = "f32ab9ba2834a0d390df92664b1272635dbc0ec6"
+ADDED = {
+    "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX": ["iban:5:32:0.90"],
+    "pay GB82WEST12345698765432 2024 or NO9386011117947 7": ["iban:4:26:0.60", "iban:35:50:0.60"],
+    "XDE89370400440532013000 DE89370400440532013000X ZZ89370400440532013000 _DE89370400440532013000": [],
+    f'token = "{HEX}" and {"word " * 9}{HEX}': ["secret:9:49:0.70"],
+    f"commit {HEX}": [],
+    f"API_KEY:{HEX.upper()}": ["secret:8:48:0.70"],
+    f"key {HEX}{HEX}": [],
+    "key " + "1" * 40 + " key " + "a" * 40: [],
+    f"étoken {HEX}": ["secret:7:47:0.70"],
+    "secret " + "a1" * 30_000: [],
+}
+
+
+def test_added_spans_need_length_checksum_or_context(docs, spark):
+    import duckdb
+
+    from copse.llm import queries
+
+    rows = list(enumerate([*ADDED, *PII, "Mail: a@b.c, x@y.z " + "w" * 40 + " q@r.s"]))
+    got = sorted(pii.pii_report(docs(rows)).collect())
+    for r, want in zip(got, ADDED.values(), strict=False):
+        assert [f"{a}:{b}" for a, b in zip(r["spans"].split(","), r["scores"].split(","), strict=True) if a] == want
+    with duckdb.connect() as db:
+        documents = docs(rows).select("doc_id", "text").toPandas()  # noqa: F841, read by the SQL
+        sql = db.sql(f"SELECT * FROM ({queries.oracle_sql()['op7_pii_spans']}) ORDER BY doc_id")
+        assert sql.columns == pii.pii_report(docs(rows)).columns
+        assert [tuple(r) for r in got] == sql.fetchall()
+
+
 def test_pii_scores_and_redaction(docs):
     df = docs([(1, "call +49 30 12345678 now"), (2, "xx +49 30 12345678 now"), (3, None)])
     scores = {r["doc_id"]: r["pii"] for r in pii.find_spans(df).select("doc_id", "pii").collect()}
