@@ -64,16 +64,26 @@ def expected_sd(counts: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (p / 3 - p * p / 3).sum() - pairs / 2)))
 
 
-def best_single(counts: np.ndarray) -> tuple[float, int] | None:
-    """The level to isolate: the most frequent one (the smallest code among equals), and the pooled gain of doing so."""
+def best_single(counts: np.ndarray, criterion: str = "pooled") -> tuple[float, int] | None:
+    """Gain and code of the level to isolate, the smallest code among equals.
+
+    By density it is the level whose isolation gains most; otherwise the most frequent one, with the averaged or the pooled gain. A
+    level by itself has no spread.
+    """
     present = np.flatnonzero(counts)
     if len(present) < 2:
         return None
+    if criterion == "dens":
+        p, share = counts[present] / counts.sum(), 1 / len(present)
+        gains = p**2 / share + (1 - p) ** 2 / (1 - share) - 1
+        at = int(np.flatnonzero(gains >= gains.max() - 1e-12)[0])
+        return float(gains[at]), int(present[at])
     k = int(present[np.argmax(counts[present])])
     rest = counts.copy()
     rest[k] = 0
     sd = expected_sd(counts)
-    return (1 - rest.sum() / counts.sum() * expected_sd(rest) / sd if sd > 0 else 0.0), k
+    weight = 0.5 if criterion == "avg" else rest.sum() / counts.sum()
+    return (1 - weight * expected_sd(rest) / sd if sd > 0 else 0.0), k
 
 
 #: Most present levels of which all subsets are tried.

@@ -26,16 +26,22 @@ MOST_TASK_ROWS = 2_000_000
 #: Nodes that are broadcast at once; larger forests are scored in batches of trees whose sums are added.
 MOST_NODES = 1_000_000
 AUTO_SAMPLE = 10_000
+#: Elements that an array column may have; each is a numeric feature.
+MOST_ELEMENTS = 4096
 
 
 @dataclass(frozen=True)
 class Schema:
-    """Columns by role, frozen at fit: numeric ones, and categorical ones with their sorted levels."""
+    """Columns by role, frozen at fit: numeric ones, and categorical ones with their sorted levels.
+
+    An array column v gives the numeric features v[0], v[1] and so on; elements has (feature, column, place) for each.
+    """
 
     numeric: tuple[str, ...]
     categorical: tuple[str, ...] = ()
     levels: tuple[tuple[str, ...], ...] = ()
     temporal: tuple[str, ...] = ()
+    elements: tuple[tuple[str, str, int], ...] = ()
 
     @property
     def columns(self) -> tuple[str, ...]:
@@ -43,9 +49,15 @@ class Schema:
 
     @staticmethod
     def infer(df: DataFrame, columns: list[str] | None = None, categ_cols: tuple[str, ...] = (), most_levels: int = 10_000) -> "Schema":
-        """Numbers, dates and timestamps are numeric; strings, booleans and categ_cols categorical; anything else is refused."""
-        numeric, categorical, temporal = [], [], []
-        for name in columns or df.columns:
+        """Numbers, dates, timestamps and arrays of numbers are numeric; strings, booleans and categ_cols categorical; anything else is refused.
+
+        An array has as many features as its longest value in df; elements that a row lacks are missing values.
+        """
+        numeric, categorical, temporal, elements = [], [], [], []
+        names = list(columns or df.columns)
+        vectors = [c for c in names if isinstance(df.schema[c].dataType, T.ArrayType) and isinstance(df.schema[c].dataType.elementType, T.NumericType)]
+        widths = df.agg(*[F.max(F.size(F.col(c))).alias(c) for c in vectors]).first() if vectors else {}
+        for name in names:
             kind = df.schema[name].dataType
             if name in categ_cols or isinstance(kind, (T.StringType, T.BooleanType)):
                 categorical.append(name)
@@ -54,23 +66,34 @@ class Schema:
                 temporal.append(name)
             elif isinstance(kind, T.NumericType):
                 numeric.append(name)
+            elif name in vectors:
+                width = max(widths[name] or 0, 0)
+                if width > MOST_ELEMENTS:
+                    raise ValueError(f"column {name} has up to {width} elements; at most {MOST_ELEMENTS} are supported")
+                features = [(f"{name}[{i}]", name, i) for i in range(width)]
+                numeric += [f for f, _, _ in features]
+                elements += features
             else:
-                raise TypeError(f"column {name} has type {kind.simpleString()}; numbers, dates, timestamps, strings and booleans are supported")
+                raise TypeError(f"column {name} has type {kind.simpleString()}; numbers, arrays of numbers, dates, timestamps, strings and booleans are supported")
         levels = []
         for name in categorical:
             found = df.select(F.col(name).cast("string").alias("v")).where("v is not null").distinct().limit(most_levels + 1).collect()
             if len(found) > most_levels:
                 raise ValueError(f"column {name} has more than {most_levels} levels")
             levels.append(tuple(sorted(r["v"] for r in found)))
-        return Schema(tuple(numeric), tuple(categorical), tuple(levels), tuple(temporal))
+        return Schema(tuple(numeric), tuple(categorical), tuple(levels), tuple(temporal), tuple(elements))
 
     def select(self, df: DataFrame) -> list[Column]:
         """The model's columns as doubles and strings, by name. Times count in microseconds."""
-        if missing := [c for c in self.columns if c not in df.columns]:
+        place = {feature: (c, i) for feature, c, i in self.elements}
+        if missing := [c for c in dict.fromkeys(place.get(c, (c,))[0] for c in self.columns) if c not in df.columns]:
             raise ValueError(f"columns are missing: {missing}")
         out = []
         for c in self.numeric:
-            x = F.unix_micros(F.col(c).cast("timestamp")) if c in self.temporal else F.col(c)
+            if c in place:
+                x = F.get(F.col(place[c][0]), F.lit(place[c][1]))
+            else:
+                x = F.unix_micros(F.col(c).cast("timestamp")) if c in self.temporal else F.col(c)
             out.append(x.cast("double").alias(c))
         return out + [F.col(c).cast("string").alias(c) for c in self.categorical]
 

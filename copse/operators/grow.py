@@ -160,7 +160,7 @@ class Grower:
         if len(present) < 2:
             return None
         if self.p.categ_split_type == "single_categ":
-            gain, chosen = criteria.best_single(counts) if kind != "random" else (1.0, int(self.rng.choice(present)))
+            gain, chosen = criteria.best_single(counts, kind) if kind != "random" else (1.0, int(self.rng.choice(present)))
             return Split("single", int(c), left_codes=[int(chosen)], right_codes=[int(x) for x in present if x != chosen], gain=gain)
         if kind == "random":
             left = self.rng.random(len(present)) < 0.5

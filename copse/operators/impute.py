@@ -43,6 +43,8 @@ def impute(model: ForestModel, df: DataFrame) -> DataFrame:
     if not model.params.build_imputer:
         raise ValueError("the forest was fitted without an imputer")
     schema, rules = model.schema, model.rules()
+    if schema.elements:
+        raise TypeError("elements of array columns are not imputed; select them as columns of their own")
     if len(model.nodes) > MOST_NODES:
         raise ValueError(f"an imputer of {len(model.nodes)} nodes is over the {MOST_NODES} that are sent at once; use fewer or smaller trees")
     nodes = df.sparkSession.sparkContext.broadcast((trees_of(model.nodes, rules), _tables(model)))

@@ -239,6 +239,21 @@ def _c_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, round(special.expected_depth(n), 8)) for n in range(1, 301)], "n long, c double")
 
 
+# -- array columns ---------------------------------------------------------------------------------------------------------------
+
+_ARRAYS = {f"forest_score_array{note}": pinned("embeddings", ntrees=10, missing_action="impute", **given) for note, given in (("", {}), ("_extended", {"ndim": 3}))}
+
+
+def _over_vectors(name: str, model: ForestModel) -> None:
+    places = [f"embedding[{i + 1}]" for _, _, i in model.schema.elements]
+    q = f"SELECT vec_id, round({export.score_sql(model, enclose='none', column_names=places)}, 8) AS score FROM embeddings"
+    query(name, q)(lambda spark, d: model.predict(_table(spark, d, "embeddings")).select("vec_id", F.round("score", 8).alias("score")))
+
+
+for _name, _model in _ARRAYS.items():
+    _over_vectors(_name, _model)
+
+
 # -- fits (random: the results are checked by properties in the tests) -----------------------------------------------------------
 
 
@@ -255,6 +270,12 @@ _fitted("fit_mixed_missing", params.ForestParams(), MIXED, _with_holes)
 _fitted("fit_extended_mixed", params.ForestParams.of(ndim=2), MIXED, _with_holes)
 
 
+@query("fit_array")
+def _fit_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return IsolationForest(params.iforest()).fit(rows, ["embedding"], key_cols=["vec_id"]).predict(rows).select("vec_id", "score")
+
+
 @query("fit_transform_impute")
 def _fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _with_holes(spark, sf_dir)

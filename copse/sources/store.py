@@ -34,7 +34,7 @@ def metadata(model: ForestModel) -> dict:
     s = model.schema
     return {
         "version": VERSION,
-        "data_info": {"numeric": s.numeric, "categorical": s.categorical, "levels": s.levels, "temporal": s.temporal},
+        "data_info": {"numeric": s.numeric, "categorical": s.categorical, "levels": s.levels, "temporal": s.temporal, "elements": s.elements},
         "model_info": {"ntrees": model.ntrees, "sample_size": model.sample_size, "depth_norm": model.depth_norm, "sep_norm": model.sep_norm, "defaults": model.defaults},
         "params": asdict(model.params),
     }
@@ -60,7 +60,7 @@ def load(spark: SparkSession, path: str) -> ForestModel:
     if found.get("version") != VERSION:
         raise ValueError(f"unknown version of a saved forest: {found.get('version')}")
     info, about = found["data_info"], found["model_info"]
-    schema = Schema(tuple(info["numeric"]), tuple(info["categorical"]), tuple(tuple(x) for x in info["levels"]), tuple(info["temporal"]))
+    schema = Schema(tuple(info["numeric"]), tuple(info["categorical"]), tuple(tuple(x) for x in info["levels"]), tuple(info["temporal"]), tuple(tuple(x) for x in info.get("elements", ())))
     return from_nodes(spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes"), ForestParams.of(**found["params"]), schema, about["sample_size"], about["depth_norm"], about["sep_norm"], tuple(about["defaults"]))
 
 

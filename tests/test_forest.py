@@ -25,6 +25,39 @@ def test_planted_outlier_scores_highest(spark, blob, p):
     assert top["id"] == 300 and model.ntrees == p.ntrees
 
 
+def test_array_columns_are_features_of_their_elements(spark, blob, tmp_path):
+    rows = blob.select("id", "x0", F.array("x0", "x1").alias("v"))
+    flat = blob.select("id", F.col("x0").alias("a"), F.col("x1").alias("b"))
+    model = IsolationForest(params.iforest(ntrees=10)).fit(rows, ["v"], key_cols=["id"])
+    assert model.schema.numeric == ("v[0]", "v[1]")
+    want = IsolationForest(params.iforest(ntrees=10)).fit(flat, ["a", "b"], key_cols=["id"])
+    scores = lambda m, df: [r["score"] for r in m.predict(df).orderBy("id").collect()]
+    assert scores(model, rows) == scores(want, flat)
+    model.save(spark, str(tmp_path / "m"))
+    assert scores(store.load(spark, str(tmp_path / "m")), rows) == scores(want, flat)
+    short = rows.withColumn("v", F.when(F.col("id") == 0, F.lit(None)).when(F.col("id") == 1, F.slice("v", 1, 1)).otherwise(F.col("v")))
+    assert scores(model, short) == [None, None, *scores(want, flat)[2:]]  # the preset's missing_action is "fail"
+    assert len(IsolationForest.of(ntrees=2, sample_size=64).fit(short, ["v"], key_cols=["id"]).schema.numeric) == 2
+    with pytest.raises(ValueError, match="missing"):
+        model.predict(flat)
+    with pytest.raises(TypeError, match="array"):
+        IsolationForest.of(ntrees=2, build_imputer=True).fit(rows, ["v"], key_cols=["id"]).transform(rows)
+    with pytest.raises(TypeError):
+        Schema.infer(rows.select(F.array(F.lit("x")).alias("t")))
+
+
+def test_exports_take_other_names():
+    model = pinned("lineitem")
+    given = dict(column_names=["c0", "c1", "c2", "c3"], column_names_categ=["k0", "k1"])
+    texts = [export.score_sql(model, **given), export.to_json(model, as_str=True, **given), export.to_dot(model, 1, **given)]
+    assert all("l_" not in x and "c" in x for x in texts)
+    leaves = [n for n in export.to_json(model, tree=0, output_tree_num=True).values() if n["terminal"] == "Yes"]
+    assert [n["leaf"] for n in leaves] == list(range(len(leaves))) and not any("score" in n for n in leaves)
+    assert "leaf 0" in export.to_dot(model, output_tree_num=True) and "score" not in export.to_dot(model, output_tree_num=True)
+    with pytest.raises(ValueError, match="names"):
+        export.to_sql(model, column_names=["a"])
+
+
 @pytest.mark.parametrize("metric", ["depth", "adj_depth", "adj_density", "density", "boxed_density", "boxed_density2", "boxed_ratio"])
 def test_metrics_are_finite_and_match_raw(spark, blob, metric):
     model = IsolationForest.of(ntrees=10, sample_size=64, scoring_metric=metric, missing_action="fail").fit(blob, ["x0", "x1"])
@@ -162,7 +195,7 @@ def test_refusals(spark, blob):
     with pytest.raises(ValueError, match="3 rows"):
         IsolationForest(params.iforest()).fit(blob.limit(2), ["x0"])
     with pytest.raises(TypeError):
-        IsolationForest(params.iforest()).fit(blob.withColumn("a", F.array("x0")), ["a"])
+        IsolationForest(params.iforest()).fit(blob.withColumn("a", F.array(F.lit("x"))), ["a"])
     with pytest.raises(ValueError, match="missing"):
         IsolationForest(params.iforest(ntrees=2)).fit(blob, ["x0"]).predict(blob.drop("x0"))
 

@@ -52,6 +52,10 @@ def test_kurtosis_and_expected_sd():
     var = (p * draws**2).sum(axis=1) - (p * draws).sum(axis=1) ** 2
     assert criteria.expected_sd(counts) == pytest.approx(math.sqrt(var.mean()), rel=0.01)
     assert criteria.best_single(counts)[1] == 0
+    rest = np.where(np.arange(len(counts)) == 0, 0, counts)
+    assert criteria.best_single(counts, "avg")[0] == pytest.approx(1 - criteria.expected_sd(rest) / (2 * criteria.expected_sd(counts)))
+    assert criteria.best_single(np.array([8.0, 9.0, 1.0, 0.0]), "dens") == (pytest.approx((1 / 18) ** 2 * 3 + (17 / 18) ** 2 * 1.5 - 1), 2)
+    assert criteria.best_single(np.array([1.0, 1.0, 7.0]), "dens")[1] == 2 and criteria.best_single(np.array([5.0, 0.0]), "dens") is None
     assert criteria.best_subset(counts, "pooled", True)[0] >= criteria.best_subset(counts, "pooled", False)[0] - 1e-9
 
 
