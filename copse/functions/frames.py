@@ -17,21 +17,34 @@ def expected_level_sd(df: DataFrame, col: str) -> DataFrame:
     return sums.select(F.sqrt(F.greatest(F.lit(0.0), (F.lit(1.0) - share) / 3 - (F.lit(1.0) - share) / 4)).alias("expected_sd"))
 
 
-def split_gains(df: DataFrame, col: str) -> DataFrame:
+def split_gains(df: DataFrame, col: str, parts: int = 256) -> DataFrame:
     """Every cut of a numeric column: value, n_left, n_right, pooled and averaged gain, density gain.
 
-    Rows are first summed by distinct value, so the ordered pass holds the column's distinct values only.
+    Rows are first summed by distinct value. The distinct values are dealt by range, at approximate quantiles, into at most `parts`
+    ranges of about equal size; running sums go over one range each, and start from the sums of the ranges before it. Only those, a
+    row per range, meet in one task. Without values there are no cuts.
     """
     x = F.col(col).cast("double")
     by = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    total = by.agg(F.sum("n").alias("tn"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    c = F.col("value") - F.col("mean")
-    rows = by.crossJoin(F.broadcast(total)).select("value", "n", "tn", "lo", "hi", (F.col("n") * c).alias("s1"), (F.col("n") * c * c).alias("s2"))  # one row joined to each
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.select(
-        "value", "tn", "lo", "hi", F.lead("value").over(Window.orderBy("value")).alias("next"), F.sum("n").over(upto).alias("nl"), F.sum("s1").over(upto).alias("a1"), F.sum("s2").over(upto).alias("a2"),
-        F.sum("s1").over(all_).alias("t1"), F.sum("s2").over(all_).alias("t2"),
+    edges = F.percentile_approx("value", [i / parts for i in range(1, parts)], 100 * parts).alias("edges")
+    # One row to the driver, so that the ranges are the same wherever they are read, also when a lost task runs again.
+    total = by.agg(F.sum("n").alias("tn"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"), edges).first()
+    c = F.col("value") - F.lit(total["mean"])
+    one = df.sparkSession.createDataFrame([(total["tn"], total["lo"], total["hi"], total["edges"])], "tn double, lo double, hi double, edges array<double>")
+    part = F.size(F.filter("edges", lambda e: e < F.col("value")))
+    rows = by.crossJoin(F.broadcast(one)).select("value", "n", "tn", "lo", "hi", (F.col("n") * c).alias("s1"), (F.col("n") * c * c).alias("s2"), part.alias("part"))
+    ranges = rows.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("s1").alias("p1"), F.sum("s2").alias("p2"), F.min("value").alias("first"))
+    in_order = Window.orderBy("part")
+    before, all_ = in_order.rowsBetween(Window.unboundedPreceding, -1), in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranges = ranges.select(
+        "part", *[F.coalesce(F.sum(p).over(before), F.lit(0.0)).alias(b) for p, b in (("pn", "bn"), ("p1", "b1"), ("p2", "b2"))], F.lead("first").over(in_order).alias("beyond"),
+        F.sum("p1").over(all_).alias("t1"), F.sum("p2").over(all_).alias("t2"),
+    )
+    inside = Window.partitionBy("part").orderBy("value")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("part", "value", "tn", "lo", "hi", F.lead("value").over(inside).alias("near"), F.sum("n").over(upto).alias("n"), F.sum("s1").over(upto).alias("s1"), F.sum("s2").over(upto).alias("s2"))
+    rows = rows.join(F.broadcast(ranges), "part").select(  # at most `parts` rows
+        "value", "tn", "lo", "hi", F.coalesce("near", "beyond").alias("next"), (F.col("n") + F.col("bn")).alias("nl"), (F.col("s1") + F.col("b1")).alias("a1"), (F.col("s2") + F.col("b2")).alias("a2"), "t1", "t2",
     ).where("next is not null")
     sd = lambda n, s1, s2: F.sqrt(F.greatest(F.lit(0.0), s2 / n - (s1 / n) * (s1 / n)))
     nl, nr = F.col("nl"), F.col("tn") - F.col("nl")

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from copse.functions import criteria, special
+from copse.functions import criteria, frames, special
 from copse.plans import params
 from copse.plans.params import ForestParams
 
@@ -85,3 +85,20 @@ def test_all_subsets_are_tried_or_refused():
     with pytest.raises(ValueError, match="all_perm"):
         criteria.best_subset(counts, "pooled", True)
     assert criteria.best_subset(counts[:12], "pooled", True) and criteria.best_subset(counts, "pooled", False)
+
+
+@pytest.mark.parametrize("parts", [2, 7, 256])
+def test_split_gains_over_ranges_equal_the_search_in_memory(spark, parts):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=500) * 3, 1)
+    x[::3] = 1.5  # a third of all rows
+    rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(5)
+    got = frames.split_gains(rows, "x", parts).toPandas().sort_values("cut")
+    assert len(got) == len(np.unique(x)) - 1
+    assert got["n_left"].tolist() == [float((x <= c).sum()) for c in got["cut"]] and (got["n_left"] + got["n_right"] == 500).all()
+    for criterion in ("avg", "pooled", "dens"):
+        gain, cut = criteria.best_numeric(x, np.ones(500), criterion)
+        best = got.loc[got[f"{criterion}_gain"].idxmax()]
+        assert best[f"{criterion}_gain"] == pytest.approx(gain) and (criterion == "pooled" or best["cut"] == pytest.approx(cut))
+    assert frames.split_gains(rows.where("x is null"), "x", parts).count() == 0
+    assert frames.split_gains(rows.where("x = 1.5"), "x", parts).count() == 0
