@@ -14,6 +14,8 @@ def midpoint(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def _moments(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
     """Weights and standard deviations left and right of every cut between different neighbours, and where those cuts are."""
     at = np.flatnonzero(x[1:] > x[:-1])
+    largest = max(abs(x[0]), abs(x[-1]))
+    x = x / largest if largest > 1e100 else x  # gains are ratios; squares must not overflow
     c = x - np.average(x, weights=w)
     cw, c1, c2 = np.cumsum(w), np.cumsum(w * c), np.cumsum(w * c * c)
     nl, nr = cw[at], cw[-1] - cw[at]

@@ -39,6 +39,9 @@ class Split:
     terms: list[dict] = field(default_factory=list)
     gain: float = 0.0
     z: np.ndarray | None = None  # value per row for num and hplane, NaN for missing
+    low: float = 0.0  # ends of z
+    high: float = 0.0
+    missing: np.ndarray | None = None  # where z is NaN, if anywhere
 
 
 @dataclass
@@ -73,6 +76,15 @@ class Grower:
             self.low = np.array([_finite(sample.num[:, c]).min(initial=np.inf) for c in range(self.n_num)])
             self.high = np.array([_finite(sample.num[:, c]).max(initial=-np.inf) for c in range(self.n_num)])
         self.has_odd = not np.isfinite(sample.num).all()
+        whole = sample.num
+        if np.isinf(whole).any():
+            whole = np.where(np.isinf(whole), np.sign(whole) * np.finfo(float).max / 4, whole)
+        self.columns = [np.ascontiguousarray(c) for c in whole.T]
+        self.has_nan = [bool(np.isnan(c).any()) for c in self.columns]
+        self.has_gap = [bool((c < 0).any()) for c in sample.cat.T]
+        self.guided = p.prob_pick_avg_gain + p.prob_pick_pooled_gain + p.prob_pick_full_gain + p.prob_pick_dens > 0
+        self.by_spread = p.prob_pick_col_by_range + p.prob_pick_col_by_var + p.prob_pick_col_by_kurt > 0
+        self.even = not self.by_spread and bool((self.col_weight == 1).all())
         self.levels0 = [max(1, len(np.unique(c[c >= 0]))) for c in sample.cat.T]
 
     # -- columns ---------------------------------------------------------------------------------------------------------------
@@ -89,19 +101,30 @@ class Grower:
 
     def _splittable(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         nums = cols[cols < self.n_num]
-        x = self.s.num[np.ix_(rows, nums)]
-        if self.has_odd:
-            x = np.where(np.isfinite(x), x, np.nan)
-        out = nums[np.fmin.reduce(x, axis=0) < np.fmax.reduce(x, axis=0)].tolist() if len(nums) else []
+        out = []
+        if len(nums):
+            x = self.s.num.take(rows, axis=0)
+            x = x if len(nums) == self.n_num else x[:, nums]
+            if self.has_odd:
+                x = np.where(np.isfinite(x), x, np.nan)
+                out = nums[np.fmin.reduce(x, axis=0) < np.fmax.reduce(x, axis=0)].tolist()
+            else:
+                out = nums[x.min(axis=0) < x.max(axis=0)].tolist()
         for c in cols[cols >= self.n_num]:
             v = self.s.cat[rows, c - self.n_num]
-            v = v[v >= 0]
+            if self.has_gap[c - self.n_num]:
+                v = v[v >= 0]
             if len(v) and v.min() < v.max():
                 out.append(c)
         return np.array(out, int)
 
-    def _chances(self, cols: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Probabilities of the columns: their weights, times range, variance or kurtosis if the draw says so. Infinite ones share all."""
+    def _chances(self, cols: np.ndarray, rows: np.ndarray, w: np.ndarray) -> np.ndarray | None:
+        """Probabilities of the columns: their weights, times range, variance or kurtosis if the draw says so. Infinite ones share all.
+
+        None if all are alike.
+        """
+        if self.even:
+            return None
         u, p, base = self.rng.random(), self.p, self.col_weight[cols].copy()
         if u < p.prob_pick_col_by_range:
             base *= [np.ptp(_finite(self.s.num[rows, c])) for c in cols]
@@ -114,7 +137,18 @@ class Grower:
         total = base.sum()
         return base / total if total > 0 else np.full(len(cols), 1 / len(cols))
 
+    def _draw(self, cols: np.ndarray, most: int, chances: np.ndarray | None) -> np.ndarray:
+        """At most `most` different columns with a chance, drawn one after another."""
+        if chances is None:
+            return cols[[self.rng.integers(len(cols))]] if most == 1 else cols[self.rng.permutation(len(cols))[:most]]
+        if most == 1:
+            upto = np.cumsum(chances)
+            return cols[[min(int(np.searchsorted(upto, self.rng.random() * upto[-1], side="right")), int(np.flatnonzero(chances)[-1]))]]
+        return self.rng.choice(cols, min(most, int((chances > 0).sum())), replace=False, p=chances)
+
     def _criterion(self) -> str:
+        if not self.guided:
+            return "random"
         u, p = self.rng.random(), self.p
         for name, share in (("avg", p.prob_pick_avg_gain), ("pooled", p.prob_pick_pooled_gain), ("full", p.prob_pick_full_gain), ("dens", p.prob_pick_dens)):
             if u < share:
@@ -127,9 +161,8 @@ class Grower:
     def _single(self, rows: np.ndarray, w: np.ndarray, cols: np.ndarray) -> Split | None:
         kind = self._criterion()
         chances = self._chances(cols, rows, w)
-        tries = 1 if kind == "random" else min(self.p.ntry, int((chances > 0).sum()))
         best = None
-        for c in self.rng.choice(cols, tries, replace=False, p=chances):
+        for c in self._draw(cols, 1 if kind == "random" else self.p.ntry, chances):
             found = self._numeric(c, rows, w, kind) if c < self.n_num else self._categorical(c, rows, w, kind)
             if found and (best is None or found.gain > best.gain):
                 best = found
@@ -137,22 +170,29 @@ class Grower:
             return None
         return best
 
-    def _threshold(self, v: np.ndarray) -> float:
-        low, high = v.min(), v.max()
+    def _threshold(self, low: float, high: float) -> float:
         at = low + (high - low) * self.rng.random()
         return float(at if at < high else np.nextafter(high, -np.inf))
 
     def _numeric(self, c: int, rows: np.ndarray, w: np.ndarray, kind: str) -> Split | None:
-        z = self.s.num[rows, c]
-        z = np.where(np.isfinite(z), z, np.where(np.isnan(z), np.nan, np.sign(z) * np.finfo(float).max / 4))
-        ok = ~np.isnan(z)
+        z, missing = self.columns[c].take(rows), None
+        seen, mine = z, w
+        if self.has_nan[c]:
+            missing = np.isnan(z)
+            if missing.any():
+                seen, mine = z[~missing], w[~missing]
+            else:
+                missing = None
+        low, high = float(seen.min()), float(seen.max())
         if kind == "random":
-            return Split("num", int(c), self._threshold(z[ok]), gain=1.0, z=z)
+            return Split("num", int(c), self._threshold(low, high), gain=1.0, z=z, low=low, high=high, missing=missing)
         if len(rows) == 2:
-            return Split("num", int(c), float(criteria.midpoint(z[ok].min(), z[ok].max())), gain=1.0, z=z)
-        others = self.s.num[rows][:, [k for k in self.cols if k < self.n_num]][ok] if kind == "full" else None
-        found = criteria.best_numeric(z[ok], w[ok], kind, others)
-        return found and Split("num", int(c), found[1], gain=found[0], z=z)
+            return Split("num", int(c), float(criteria.midpoint(low, high)), gain=1.0, z=z, low=low, high=high, missing=missing)
+        others = self.s.num[rows][:, [k for k in self.cols if k < self.n_num]] if kind == "full" else None
+        if others is not None and missing is not None:
+            others = others[~missing]
+        found = criteria.best_numeric(seen, mine, kind, others)
+        return found and Split("num", int(c), found[1], gain=found[0], z=z, low=low, high=high, missing=missing)
 
     def _categorical(self, c: int, rows: np.ndarray, w: np.ndarray, kind: str) -> Split | None:
         counts = self._counts(c, rows, w)
@@ -171,40 +211,42 @@ class Grower:
         return Split("subset", int(c), left_codes=np.flatnonzero(mask).tolist(), right_codes=[int(x) for x in present if not mask[x]], gain=gain)
 
     def _plane(self, rows: np.ndarray, w: np.ndarray, cols: np.ndarray) -> Split | None:
-        kind, best = self._criterion(), None
+        kind, best, known = self._criterion(), None, {}
         for _ in range(self.p.ntry if kind != "random" else 1):
-            chances = self._chances(cols, rows, w)
-            take = min(self.p.ndim, int((chances > 0).sum()))
-            picked = self.rng.choice(cols, take, replace=False, p=chances)
+            picked = self._draw(cols, self.p.ndim, self._chances(cols, rows, w))
             z, terms = np.zeros(len(rows)), []
             for c in picked:
-                part, term = self._term(int(c), rows, w)
+                part, term = self._term(int(c), rows, w, known)
                 z += part
                 terms.append(term)
-            if not z.min() < z.max():
+            low, high = float(z.min()), float(z.max())
+            if not low < high:
                 continue
             if kind == "random":
-                return Split("hplane", at=self._threshold(z), terms=terms, gain=1.0, z=z)
+                return Split("hplane", at=self._threshold(low, high), terms=terms, gain=1.0, z=z, low=low, high=high)
             others = self.s.num[rows][:, [c for c in picked if c < self.n_num]] if kind == "full" else None
             found = criteria.best_numeric(z, w, "pooled" if kind == "full" and others.shape[1] == 0 else kind, others)
             if found and (best is None or found[0] > best.gain):
-                best = Split("hplane", at=found[1], terms=terms, gain=found[0], z=z)
+                best = Split("hplane", at=found[1], terms=terms, gain=found[0], z=z, low=low, high=high)
         return best if best and best.gain > self.p.min_gain else None
 
     def _coef(self, size=None):
         return self.rng.normal(size=size) if self.p.coefs == "normal" else self.rng.uniform(-1, 1, size)
 
-    def _term(self, c: int, rows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, dict]:
-        """A column's part of a hyperplane: centred, divided by its deviation, times a random coefficient; missing gets the median's part."""
+    def _term(self, c: int, rows: np.ndarray, w: np.ndarray, known: dict) -> tuple[np.ndarray, dict]:
+        """A column's part of a hyperplane: centred, divided by its deviation, times a random coefficient; missing gets the median's part.
+
+        known holds what was computed of the node's columns, for further candidates.
+        """
         p = self.p
         if c < self.n_num:
-            x = self.s.num[rows, c]
-            ok = np.isfinite(x)
-            mean = float(np.average(x[ok], weights=w[ok]))
-            sd = float(np.sqrt(np.average((x[ok] - mean) ** 2, weights=w[ok])))
+            if c not in known:
+                known[c] = self._centred(c, rows, w)
+            d, ok, mean, sd, middle = known[c]
             coef = float(self._coef()) / (sd if p.standardize_data and sd > 0 else 1.0)
-            fill = coef * (float(np.median(x[ok])) - mean)
-            return np.where(ok, coef * (np.where(ok, x, 0) - mean), fill), {"col": c, "coef": coef, "mean": mean, "cats": None, "fill": fill, "fill_new": fill}
+            fill = coef * middle
+            part = coef * d
+            return part if ok is None else np.where(ok, part, fill), {"col": c, "coef": coef, "mean": mean, "cats": None, "fill": fill, "fill_new": fill}
         counts = self._counts(c, rows, w)
         present = np.flatnonzero(counts)
         cats = np.full(len(counts), np.nan)
@@ -223,6 +265,29 @@ class Grower:
         part = np.where(codes >= 0, np.nan_to_num(cats[np.maximum(codes, 0)], nan=new), mean_part)
         return part, {"col": c, "coef": 0.0, "mean": 0.0, "cats": [None if math.isnan(v) else float(v) for v in cats], "fill": mean_part, "fill_new": new}
 
+    def _centred(self, c: int, rows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, float, float, float]:
+        """Of a node's numeric column: values less their mean (0 where missing), where it is finite if not everywhere, mean, deviation, median less mean."""
+        x, ok = self.s.num[:, c].take(rows), None
+        seen, mine = x, w
+        if self.has_odd:
+            ok = np.isfinite(x)
+            if ok.all():
+                ok = None
+            else:
+                seen, mine = x[ok], w[ok]
+        total = float(mine.sum())
+        mean = float(mine @ seen) / total
+        d = seen - mean
+        sd = math.sqrt(float(mine @ (d * d)) / total)
+        half = len(seen) // 2
+        ends = (half,) if len(seen) % 2 else (half - 1, half)
+        middle = float(np.partition(d, ends)[list(ends)].mean())
+        if ok is not None:
+            whole = np.zeros(len(x))
+            whole[ok] = d
+            d = whole
+        return d, ok, mean, sd, middle
+
     # -- tree ------------------------------------------------------------------------------------------------------------------
 
     def grow(self, tree: int) -> list[dict]:
@@ -257,8 +322,7 @@ class Grower:
                 continue
             node |= {"kind": split.kind, "col": split.col}
             if split.kind in ("num", "hplane"):
-                seen = split.z[~np.isnan(split.z)]
-                span = float(seen.max() - seen.min())
+                span = split.high - split.low
                 node |= {"split": split.at, "lo": split.at - span, "hi": split.at + span}
             else:
                 node |= {"cat_left": split.left_codes, "cat_right": split.right_codes}
@@ -273,32 +337,38 @@ class Grower:
 
     def _part(self, split: Split, rows: np.ndarray, w: np.ndarray, node: dict):
         if split.kind in ("num", "hplane"):
-            missing = np.isnan(split.z)
-            goes = np.where(missing, False, split.z <= split.at)
+            missing = split.missing
+            goes = split.z <= split.at  # no for missing ones
         else:
-            codes = self.s.cat[rows, split.col - self.n_num]
-            missing = codes < 0
-            goes = np.isin(codes, split.left_codes)
-        wl = w[goes & ~missing].sum()
-        known = w[~missing].sum()
-        pct = float(wl / known) if known > 0 else 0.5
+            codes, k = self.s.cat[rows, split.col - self.n_num], split.col - self.n_num
+            missing = codes < 0 if self.has_gap[k] else None
+            side = np.zeros(self.s.n_levels[k], bool)
+            side[split.left_codes] = True
+            goes = side[codes] if missing is None else side[np.maximum(codes, 0)] & ~missing
+            if missing is not None and not missing.any():
+                missing = None
+        known = node["n"] if missing is None else float(w[~missing].sum())
+        wl = float(w[goes].sum())
+        pct = wl / known if known > 0 else 0.5
         node["pct_left"] = pct
-        if missing.any():
+        if missing is not None:
             if self.p.missing_action == "fail":
                 raise MissingValues("the data have missing values and missing_action is 'fail'")
             if self.p.missing_action == "divide":
                 left, right = goes | missing, ~goes
                 return rows[left], rows[right], np.where(missing[left], w[left] * pct, w[left]), np.where(missing[right], w[right] * (1 - pct), w[right])
             goes = np.where(missing, pct >= 0.5, goes)
-        return rows[goes], rows[~goes], w[goes], w[~goes]
+        rest = ~goes
+        return rows[goes], rows[rest], w[goes], w[rest]
 
     def _states(self, split: Split, pct: float, state: dict) -> tuple[dict, dict]:
         """Density bookkeeping of both children; a box is copied on descent."""
+        if self.p.scoring_metric == "depth":
+            return state, state
         a, b = dict(state), dict(state)
         if split.kind in ("num", "hplane"):
-            seen = split.z[~np.isnan(split.z)]
-            span = max(float(seen.max() - seen.min()), TINY)
-            fl = min(max((split.at - float(seen.min())) / span, EPS), 1 - EPS)
+            span = max(split.high - split.low, TINY)
+            fl = min(max((split.at - split.low) / span, EPS), 1 - EPS)
         else:
             fl = len(split.left_codes) / (len(split.left_codes) + len(split.right_codes))
         for out, frac, share in ((a, fl, pct), (b, 1 - fl, 1 - pct)):
@@ -348,41 +418,48 @@ class Grower:
 
     # -- imputation ------------------------------------------------------------------------------------------------------------
 
-    def _stats(self, rows: np.ndarray, w: np.ndarray) -> list[dict]:
-        """Mean (level -1) of every numeric column and weight of every level, of the values present."""
-        out = []
-        for c in range(self.n_num):
-            x = self.s.num[rows, c]
+    def _stats(self, rows: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the values present: means, weights and numbers of numeric columns, then weights and numbers of the categorical ones' levels."""
+        x = self.s.num.take(rows, axis=0)
+        if self.has_odd:
             ok = np.isfinite(x)
-            total = float(w[ok].sum())
-            out.append({"col": c, "level": -1, "value": float(np.average(x[ok], weights=w[ok])) if total > 0 else 0.0, "weight": total, "obs": int(ok.sum())})
-        for k in range(self.s.cat.shape[1]):
-            counts = self._counts(self.n_num + k, rows, w)
-            seen = int((self.s.cat[rows, k] >= 0).sum())
-            out += [{"col": self.n_num + k, "level": int(v), "value": float(counts[v] / counts.sum()), "weight": float(counts.sum()), "obs": seen} for v in np.flatnonzero(counts)]
-        return out
+            weight, obs = w @ ok, ok.sum(axis=0)
+            x = np.where(ok, x, 0.0)
+        else:
+            weight, obs = np.full(self.n_num, w.sum()), np.full(self.n_num, len(rows))
+        mean = np.divide(w @ x, weight, out=np.zeros(self.n_num), where=weight > 0)
+        counts = [self._counts(self.n_num + k, rows, w) for k in range(self.s.cat.shape[1])]
+        seen = [int((self.s.cat[rows, k] >= 0).sum()) if gap else len(rows) for k, gap in enumerate(self.has_gap)]
+        return mean, weight, obs, counts, seen
+
+    def _values(self, stats: tuple[np.ndarray, ...], c: int) -> tuple[int, list[tuple[int, float]], float]:
+        """Observations, (level, value) pairs and weight of a column; level -1 for a mean."""
+        mean, weight, obs, counts, seen = stats
+        if c < self.n_num:
+            return int(obs[c]), [(-1, float(mean[c]))], float(weight[c])
+        mine = counts[c - self.n_num]
+        total = float(mine.sum())
+        return seen[c - self.n_num], [(int(v), float(mine[v] / total)) for v in np.flatnonzero(mine)], total
 
     def _imputer(self, nodes: list[dict]) -> None:
         """Leaves get values and weights; a column with too few observations takes its nearest ancestor's, at w / (2 * levels climbed)."""
-        by = [{} for _ in nodes]
-        for node, mine in zip(nodes, by, strict=True):
-            for x in node["imp"]:
-                mine.setdefault(x["col"], []).append(x)
+        by = [node["imp"] for node in nodes]
         for node in nodes:
             if node["kind"] != "leaf":
                 continue
             kept = []
             for c in range(self.s.width):
                 at, climbed = node["node"], 0
-                while not (by[at].get(c) and by[at][c][0]["obs"] >= self.p.min_imp_obs) and nodes[at]["parent"] >= 0:
+                obs, values, total = self._values(by[at], c)
+                while not (values and obs >= self.p.min_imp_obs) and nodes[at]["parent"] >= 0:
                     at, climbed = nodes[at]["parent"], climbed + 1
-                for x in by[at].get(c, ()):
-                    if x["weight"] <= 0:
-                        continue
-                    weight = x["weight"] / (2 * climbed) if climbed else x["weight"]
-                    weight = {"prop": weight, "flat": weight / x["weight"], "inverse": weight / (x["weight"] * math.sqrt(x["weight"]))}[self.p.weigh_imp_rows]
-                    weight *= {"higher": node["depth"] + 1, "lower": 1 / (node["depth"] + 1), "same": 1}[self.p.depth_imp]
-                    kept.append({"col": c, "level": x["level"], "value": x["value"], "weight": weight})
+                    obs, values, total = self._values(by[at], c)
+                if total <= 0:
+                    continue
+                weight = total / (2 * climbed) if climbed else total
+                weight = {"prop": weight, "flat": weight / total, "inverse": weight / (total * math.sqrt(total))}[self.p.weigh_imp_rows]
+                weight *= {"higher": node["depth"] + 1, "lower": 1 / (node["depth"] + 1), "same": 1}[self.p.depth_imp]
+                kept += [{"col": c, "level": level, "value": value, "weight": weight} for level, value in values]
             node["imp"] = kept
         for node in nodes:
             if node["kind"] != "leaf":

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from copse.functions import criteria, frames, special
+from copse.operators.grow import Grower, Sample
 from copse.plans import params
 from copse.plans.params import ForestParams
 
@@ -87,6 +88,27 @@ def test_all_subsets_are_tried_or_refused():
     assert criteria.best_subset(counts[:12], "pooled", True) and criteria.best_subset(counts, "pooled", False)
 
 
+@pytest.mark.parametrize("criterion", ["avg", "pooled", "dens"])
+def test_infinite_values_are_cut_off(criterion):
+    x = np.concatenate([np.linspace(0, 1, 30), [np.inf, np.inf]])
+    p = ForestParams.of(**{"prob_pick_dens" if criterion == "dens" else f"prob_pick_{criterion}_gain": 1.0}).resolved()
+    nodes = Grower(Sample(x[:, None], np.empty((32, 0), np.int64), [], np.ones(32)), p, np.random.default_rng(0), 6).grow(0)
+    assert np.isfinite(nodes[0]["split"])
+    if criterion != "dens":  # by density, the finite values are so crowded that a cut among them gains more
+        assert nodes[0]["split"] >= 1 and nodes[0]["pct_left"] == pytest.approx(30 / 32)
+    assert all(np.isfinite(n["score"]) for n in nodes if n["kind"] == "leaf")
+
+
+def test_first_draw_follows_chances():
+    g = Grower(Sample(np.zeros((4, 3)), np.empty((4, 0), np.int64), [], np.ones(4)), ForestParams.of().resolved(), np.random.default_rng(0), 3)
+    cols = np.array([0, 1, 2])
+    weighted = np.bincount([int(g._draw(cols, 1, np.array([0.2, 0.0, 0.8]))[0]) for _ in range(2000)], minlength=3) / 2000
+    assert weighted[1] == 0 and abs(weighted[0] - 0.2) < 0.04
+    even = np.bincount([int(g._draw(cols, 1, None)[0]) for _ in range(2000)], minlength=3) / 2000
+    assert (abs(even - 1 / 3) < 0.04).all()
+    assert sorted(g._draw(cols, 5, None)) == [0, 1, 2] and sorted(g._draw(cols, 5, np.array([0.2, 0.0, 0.8]))) == [0, 2]
+
+
 @pytest.mark.parametrize("parts", [2, 7, 256])
 def test_split_gains_over_ranges_equal_the_search_in_memory(spark, parts):
     rng = np.random.default_rng(3)
