@@ -164,7 +164,10 @@ class IsolationForest:
             sample = Sample(num, cat, [len(x) for x in schema.levels], weight, col_weight)
             return pd.DataFrame(Grower(sample, p, rng, depth).grow(tree), columns=_NODE_COLUMNS)
 
-        nodes = sampled.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toArrow().to_pandas()  # at most ntrees * 2 * sample rows
+        # Samples are small but growing is not: a stated number of partitions is not merged at run time.
+        spark = df.sparkSession
+        tasks = min(p.ntrees, max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        nodes = sampled.repartition(tasks, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toArrow().to_pandas()  # at most ntrees * 2 * sample rows
         nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
         nodes["imp"] = nodes["imp"] if p.build_imputer else None
         defaults = _defaults(df, schema) if p.build_imputer else ()
