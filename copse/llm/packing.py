@@ -94,24 +94,16 @@ class ChunkTokenizer:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _known(self, wanted: set[str]) -> dict[str, bytes]:
-        """The ids of every chunk wanted. Chunks that were not used since the cache was half full go first."""
-        out, new = {}, []
-        get, older = self.chunks.get, self.older.get
-        for w in wanted:
-            x = get(w)
+    def _know(self, wanted: set[str]) -> None:
+        """Puts the ids of every chunk wanted into the newer half of the cache. Those there already are passed over as a set."""
+        chunks, older, new = self.chunks, self.older.get, []
+        for w in wanted.difference(chunks):
+            x = older(w)
             if x is None:
-                x = older(w)
-                if x is None:
-                    new.append(w)
-                    continue
-                self.chunks[w] = x
-            out[w] = x
-        for w, x in self._learn(new):
-            out[w] = self.chunks[w] = x
-        if len(self.chunks) > CACHE_CHUNKS // 2:
-            self.older, self.chunks = self.chunks, {}
-        return out
+                new.append(w)
+            else:
+                chunks[w] = x
+        chunks.update(self._learn(new))
 
     def rest(self) -> None:
         """Halves the cache between tasks: idle workers hold little."""
@@ -119,8 +111,12 @@ class ChunkTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [self._split(t) for t in texts]
-        known = self._known(set().union(*(c for c in split if c)))
-        return [self.whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
+        self._know(set().union(*(c for c in split if c)))
+        ids = self.chunks.__getitem__
+        out = [self.whole(t) if c is None else b"".join(map(ids, c)) for t, c in zip(texts, split, strict=True)]
+        if len(self.chunks) > CACHE_CHUNKS // 2:  # chunks that were not used since the cache was half full go first
+            self.older, self.chunks = self.chunks, {}
+        return out
 
 
 class Packer:

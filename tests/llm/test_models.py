@@ -135,6 +135,23 @@ def _pieces(docs, rows, **options):
     return got, {s: sum(n for _, n in p) for s, p in fill.items()}
 
 
+def test_known_chunks_are_not_looked_up_one_by_one(monkeypatch):
+    class Cache(dict):
+        def get(self, *_):
+            raise AssertionError("a known chunk was looked up by itself")
+
+    texts = [" ".join(f"word{j % 9} x{i}y, again." for j in range(i)) for i in range(12)]
+    encode = packing.ChunkTokenizer(vocabulary())
+    want = [encode.whole(t) for t in texts]
+    encode.chunks = Cache()
+    assert encode(texts) == want and encode(texts) == want
+    monkeypatch.setattr(packing, "CACHE_CHUNKS", 12)
+    encode = packing.ChunkTokenizer(vocabulary())
+    for i in (*range(0, 12, 2), 4):  # the cache turns over, and older chunks come back
+        assert encode(texts[i : i + 2]) == want[i : i + 2]
+    assert encode([None, *texts]) == [b"", *want] and not encode.chunks
+
+
 def test_packing_round_trip(docs):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices(EN + ["İstanbul", "don't", "a.b,", "<|endoftext|>", "naïve!!", "x1 y", "ΣΑΣ", "é", "...", "Straße,"], k=rng.randint(0, 400)))) for i in range(120)] + [(500, None), (501, ""), (502, "word " * 30_000), (None, "a")]
